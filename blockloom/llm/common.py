@@ -44,6 +44,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
+def row_key() -> Column:
+    """Tells rows apart that share a doc_id; equal for repeated rows, which get equal
+    verdicts. 96 bits, so that rows of a large corpus don't meet by chance."""
+    cols = ("doc_id", "text", "lang", "source")
+    return F.struct(F.xxhash64(*cols).alias("a"), F.hash(*cols).alias("b"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, only, words
+from .common import let, materialise, only, row_key, words
 
 SYMBOLS = r"[#*$%&|<>]"
 # Pseudo-words added to each document, so that short texts don't look extreme by chance.
@@ -81,12 +81,6 @@ def _repeat_words(tokens: Column) -> Column:
     return F.when(F.size(tokens) < 6, F.lit(0).cast("long")).otherwise(let(let(hashed, windows), count))
 
 
-def row_key() -> Column:
-    """Tells rows apart that share a doc_id; equal for repeated rows, which get equal verdicts."""
-    cols = ("doc_id", "text", "lang", "source")
-    return F.struct(F.xxhash64(*cols).alias("a"), F.hash(*cols).alias("b"))
-
-
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, row_key and the contract's counts for every row of ``docs``."""
     df = only(docs, doc_id="doc_id", text="text", lang="lang", source="source").withColumn("row_key", row_key())
