@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, packing, quality, simhash
+from . import linededup, packing, quality, secretscan, simhash
 from .common import read
 
 
@@ -14,6 +15,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents")).drop("row_key", "lang", "source")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256)
+    return found.withColumn("base_sha256", digest).drop("base_spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_boilerplate(read(spark, sf_dir, "documents"), count="n_removed")
 
@@ -28,7 +35,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_line_dedup, op6_packing, op7_simhash, op10_quality_rules]
+    found = [op2_secret_scan, op4_line_dedup, op6_packing, op7_simhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
