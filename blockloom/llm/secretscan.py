@@ -25,7 +25,6 @@ from .common import only
 # The contract's patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -76,18 +75,14 @@ def entropy_spans(text: str, window: int, least: float, start: int, end: int) ->
     return out
 
 
-def _runs(text: str):
-    """Hex runs long enough to count; shorter ones aren't even made into matches."""
-    return ((m.start(), m.end()) for m in _LONG_HEX(text))
-
-
-_LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}").finditer
+# Runs of HEX that are long enough to count; shorter ones aren't even made into matches.
+LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    out += [("hex", *s) for s in _runs(text)]
+    out += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
