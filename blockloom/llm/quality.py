@@ -144,7 +144,7 @@ def _grouped(v: DataFrame) -> DataFrame:
         .otherwise("{}")
         .alias("grp"),
     )
-    return v.join(named, ["lang_", "source_"], "left")
+    return v.join(materialise(named, "groups"), ["lang_", "source_"], "left")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -196,13 +196,15 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
     # Start: coordinatewise medians and absolute deviations, by mergeable sketches.
     med = fit_on.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"c{i}") for i in range(DIMS)])
-    start = fit_on.join(med, "grp")
+    # One row a group, written: where that is small, Spark plans a broadcast and the rows
+    # aren't dealt by group at all, so that a hot group's rows stay spread.
+    start = fit_on.join(materialise(med, "medians"), "grp")
     dist = sum((F.pow((F.col(f"x{i}") - F.col(f"c{i}")) / F.lit(FLOORS[i]), 2) for i in range(1, DIMS)), F.pow((F.col("x0") - F.col("c0")) / F.lit(FLOORS[0]), 2))
     rows = start.withColumn("d2", dist).select("grp", *[f"x{i}" for i in range(DIMS)], "d2")
     fit = None
     for _ in range(STEPS):
         edge = rows.groupBy("grp").agg(F.percentile_approx("d2", H_SHARE, 1000).alias("edge"))
-        half = rows.join(edge, "grp").filter(F.col("d2") <= F.col("edge"))
+        half = rows.join(materialise(edge, "edges"), "grp").filter(F.col("d2") <= F.col("edge"))
         fit = materialise(_moments(half), "mcd")
         rows = _with_distance(fit_on, fit, 1.0).drop("n_fit")
     out = _with_distance(v, fit, CONSISTENCY)
