@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, quality, secretscan, simhash
+from . import htmltext, linededup, packing, quality, secretscan, simhash
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents")).drop("row_key", "lang", "source")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.find_secrets(read(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("base_spans").cast("binary"), 256)
@@ -35,7 +39,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_secret_scan, op4_line_dedup, op6_packing, op7_simhash, op10_quality_rules]
+    found = [op1_html_text, op2_secret_scan, op4_line_dedup, op6_packing, op7_simhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
