@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, packing, quality, secretscan, simhash
+from . import htmltext, linededup, packing, quality, secretscan, simhash, topk
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", digest).drop("base_spans")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_boilerplate(read(spark, sf_dir, "documents"), count="n_removed")
 
@@ -39,9 +43,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_secret_scan, op4_line_dedup, op6_packing, op7_simhash, op10_quality_rules]
+    found = [op1_html_text, op2_secret_scan, op3_top_k, op4_line_dedup, op6_packing, op7_simhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE_SQL}
+    return {"op3_top_k": topk.ORACLE_SQL, "op4_line_dedup": linededup.ORACLE_SQL}
