@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, packing, quality, secretscan, simhash, topk
+from . import htmltext, linededup, mixing, packing, quality, secretscan, simhash, tokencount, topk
 from .common import read
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(read(spark, sf_dir, "documents"))
+    p = F.round("p__", 6).alias("p")
+    return found.select("doc_id", "source", "lang", F.col("topic__").alias("topic"), p, F.col("kept__").alias("kept"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents")).drop("row_key", "lang", "source")
 
@@ -43,9 +53,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_secret_scan, op3_top_k, op4_line_dedup, op6_packing, op7_simhash, op10_quality_rules]
+    found = [op1_html_text, op2_secret_scan, op3_top_k, op4_line_dedup, op6_packing, op7_simhash, op8_token_counts, op9_mixing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.ORACLE_SQL, "op4_line_dedup": linededup.ORACLE_SQL}
+    return {"op3_top_k": topk.ORACLE_SQL, "op4_line_dedup": linededup.ORACLE_SQL, "op9_mixing": mixing.oracle_sql()}
