@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, mixing, packing, quality, secretscan, simhash, tokencount, topk
+from . import htmltext, licensescan, linededup, mixing, packing, quality, secretscan, simhash, tokencount, topk
 from .common import read
 
 
@@ -43,6 +43,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_boilerplate(read(spark, sf_dir, "documents"), count="n_removed")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensescan.scan_licenses(licensescan.document_paths(read(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_secret_scan, op3_top_k, op4_line_dedup, op6_packing, op7_simhash, op8_token_counts, op9_mixing, op10_quality_rules]
+    found = [op1_html_text, op2_secret_scan, op3_top_k, op4_line_dedup, op5_license_scan, op6_packing, op7_simhash, op8_token_counts, op9_mixing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
