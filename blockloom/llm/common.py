@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir  # noqa: F401
+
 # Characters that separate words in every contract: space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD = r"[\x20\x09-\x0D]+"
@@ -51,31 +51,6 @@ def row_key() -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.hash(*cols).alias("b"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    Where it is unset, as in tests on one machine, a temporary folder is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="blockloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage at a point that outlives any executor, and lets several consumers
-    use costly columns without computing them again."""
-    path = f"{shared_dir(df.sparkSession)}/blockloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def single_thread() -> None:
     """For use on executors: libraries must not start threads of their own there."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
