@@ -146,7 +146,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """fp and root (smallest fingerprint reachable) for every end of ``edges``.
+    """fp and root (smallest fingerprint reachable) for every end of ``edges`` but the roots.
 
     Large-star and small-star steps in turn, until nothing changes."""
 
