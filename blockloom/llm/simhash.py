@@ -62,13 +62,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         fp = [fingerprint(t) for t in b.column("text").to_pylist()]
         signed = [x - (1 << 64) if x >> 63 else x for x in fp]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(signed, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("k1__"), b.column("k2__"), pa.array(signed, pa.int64())], ["doc_id", "k1__", "k2__", "fp"]
+        )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (64 bits as a signed long) for every row."""
-    thin = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
-    return thin.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, the row's identity and fp (64 bits as a signed long) for every row."""
+    thin = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text", *_identity())
+    return thin.mapInArrow(_fingerprints, "doc_id long, k1__ long, k2__ int, fp long")
 
 
 def _pivots() -> list[int]:
@@ -171,6 +173,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("root"))
 
 
+def _placed(fps: DataFrame) -> DataFrame:
+    """Adds root (smallest fingerprint reachable) and component_id to rows with an fp."""
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(links(distinct.select("fp")))
+    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(placed.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed long) and component_id for every row of ``docs``.
 
@@ -179,27 +190,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are hashed as one shingle; a null doc_id takes part but never names a component;
     repeated rows come back as often as they are there. An empty table gives an empty
     table."""
-    fps = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return _placed(materialise(fingerprints(docs), "fingerprints")).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _identity() -> list[Column]:
+    """Tells rows apart by id and text, in 96 bits."""
+    return [F.xxhash64("doc_id", "text").alias("k1__"), F.hash("doc_id", "text").alias("k2__")]
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; rows without a
-    doc_id stay where nothing else stands for their component. Columns as in ``docs``.
-
-    Where rows repeat that doc_id, one of them stays."""
-    found = near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = materialise(first.groupBy(F.col("doc_id").alias("k__")).agg(F.count(F.lit(1)).alias("n__")), "kept")
-    here = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["k__"]), "left_semi")
-    # Texts are dealt out anew by doc_id only where ids do repeat.
-    return here if chosen.filter("n__ > 1").isEmpty() else here.dropDuplicates(["doc_id"])
+    """One document of each component, the one with the smallest doc_id; a row without a
+    doc_id stays only where no row of its component has one. Columns as in ``docs``.
+
+    Where rows repeat that document, one of them stays."""
+    found = _placed(materialise(fingerprints(docs), "fingerprints"))
+    rows = found.groupBy("root", "k1__", "k2__").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n__"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1__", "k2__", "n__")
+    first = rows.groupBy("root").agg(F.min(order).alias("x"))
+    chosen = materialise(first.select("x.k1__", "x.k2__", "x.n__"), "kept")
+    here = docs.select("*", *_identity()).join(chosen, ["k1__", "k2__"], "left_semi")
+    # Texts are dealt out anew only where rows do repeat.
+    if not chosen.filter("n__ > 1").isEmpty():
+        here = here.dropDuplicates(["k1__", "k2__"])
+    return here.select(*docs.columns)
