@@ -69,9 +69,9 @@ def natural_targets(cells: DataFrame, margin: str) -> DataFrame:
     """Tempered natural shares of one margin."""
     own = cells.groupBy(margin).agg(F.sum("n").alias("own"))
     tempered = own.withColumn("w", F.pow(F.col("own").cast("double"), TEMPER))
-    total = tempered.agg(F.sum("w").alias("all_w"), F.sum("own").alias("all_n"))
-    # one row of totals
-    return tempered.join(F.broadcast(total), F.lit(True)).select(margin, (F.lit(KEEP) * F.col("all_n") * F.col("w") / F.col("all_w")).alias(f"t_{margin}"))
+    all_w, all_n = tempered.agg(F.sum("w"), F.sum("own")).first()
+    share = F.col("w") / F.lit(all_w or 1.0)
+    return tempered.select(margin, (F.lit(KEEP) * F.lit(all_n or 0) * share).alias(f"t_{margin}"))
 
 
 def number(doc_id: Column) -> Column:

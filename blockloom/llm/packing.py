@@ -82,8 +82,8 @@ def lane_plan(tokens: DataFrame, targets: dict[str, float] | None) -> DataFrame:
     lanes = before(cells.groupBy("lane").agg(F.sum("n").alias("lane_n")), [], "lane_n", "all_before")
     own = before(cells, ["source"], "n", "own_before")
     if targets is None:
-        total = cells.agg(F.sum("n").alias("all_n"))
-        shares = cells.groupBy("source").agg(F.sum("n").alias("t")).crossJoin(F.broadcast(total)).select("source", (F.col("t") / F.col("all_n")).alias("share"))
+        total = cells.agg(F.sum("n")).first()[0] or 1
+        shares = cells.groupBy("source").agg((F.sum("n") / F.lit(total)).alias("share"))
     else:
         rows = [(k, float(v)) for k, v in targets.items()]
         shares = cells.sparkSession.createDataFrame(rows, "source string, share double")
