@@ -36,6 +36,10 @@ STEPS = 3
 # Groups with fewer rows are pooled by language, then all together; pools that stay
 # smaller get no verdict by distance.
 MIN_GROUP = 100
+# Up to so many groups, their estimates (under 300 bytes each) are broadcast; beyond, each
+# estimate is dealt to SALTS places and rows are dealt over them.
+FEW_GROUPS = 10_000
+SALTS = 16
 
 
 def _repeat_words(tokens: Column) -> Column:
@@ -128,9 +132,18 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(v: DataFrame) -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """Left join of rows (which have a ``salt``) to one row for each group. Either way no
+    task gets all rows of a hot group."""
+    if few:
+        return rows.join(F.broadcast(groups), on, "left")
+    dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(dealt, [*on, "salt"], "left").select(*rows.columns, *[c for c in groups.columns if c not in on])
+
+
+def _grouped(v: DataFrame, few_groups: int) -> tuple[DataFrame, bool]:
     """Adds ``grp``: language and source where enough rows pass the base rules, else the
-    language's other rows, else all the rest."""
+    language's other rows, else all the rest. Also says whether the groups are few."""
     v = v.withColumn("lang_", F.coalesce(F.col("lang"), F.lit("\u0000"))).withColumn(
         "source_", F.coalesce(F.col("source"), F.lit("\u0000"))
     )
@@ -144,7 +157,9 @@ def _grouped(v: DataFrame) -> DataFrame:
         .otherwise("{}")
         .alias("grp"),
     )
-    return v.join(materialise(named, "groups"), ["lang_", "source_"], "left")
+    named = materialise(named, "groups")
+    few = named.count() <= few_groups
+    return meet(v, named, ["lang_", "source_"], few), few
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -156,7 +171,7 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(*aggs)
 
 
-def _with_distance(rows: DataFrame, fit: DataFrame, scale: float) -> DataFrame:
+def _with_distance(rows: DataFrame, fit: DataFrame, scale: float, few: bool) -> DataFrame:
     """Squared Mahalanobis distance d2 by Cholesky elimination written out as columns.
 
     The factor is found per group, on the small side; a row only does the forward
@@ -173,7 +188,7 @@ def _with_distance(rows: DataFrame, fit: DataFrame, scale: float) -> DataFrame:
             fit = fit.withColumn(name, F.sqrt(F.greatest(cell, F.lit(1e-12))) if i == j else cell / F.col(chol[j, j]))
             chol[i, j] = name
     fit = fit.select("grp", "n_fit", *[f"m{i}" for i in range(DIMS)], *chol.values())
-    out = rows.join(fit, "grp", "left")
+    out = meet(rows, fit, ["grp"], few)
     for i in range(DIMS):
         z = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -183,7 +198,7 @@ def _with_distance(rows: DataFrame, fit: DataFrame, scale: float) -> DataFrame:
     return out.withColumn("d2", d2).select(*rows.columns, "n_fit", "d2")
 
 
-def quality_verdicts(docs: DataFrame) -> DataFrame:
+def quality_verdicts(docs: DataFrame, few_groups: int = FEW_GROUPS) -> DataFrame:
     """doc_id, lang, source, row_key, the counts, d2 (squared distance), base_failed and kept.
 
     One row for each row of ``docs``. Null text counts as empty and so fails the base
@@ -191,23 +206,24 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     and get the same verdict; ties at the edge of the half are all taken in. An empty
     table gives an empty table. Pools smaller than MIN_GROUP keep whatever passes the
     base rules (d2 null)."""
-    v = materialise(_grouped(vectors(materialise(statistics(docs), "statistics"))), "quality")
-    fit_on = v.filter(~F.col("base_failed")).select("grp", *[f"x{i}" for i in range(DIMS)])
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    stats = materialise(statistics(docs).withColumn("salt", salt), "statistics")
+    v, few = _grouped(vectors(stats), few_groups)
+    v = materialise(v, "quality")
+    fit_on = v.filter(~F.col("base_failed")).select("grp", "salt", *[f"x{i}" for i in range(DIMS)])
 
     # Start: coordinatewise medians and absolute deviations, by mergeable sketches.
     med = fit_on.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"c{i}") for i in range(DIMS)])
-    # One row a group, written: where that is small, Spark plans a broadcast and the rows
-    # aren't dealt by group at all, so that a hot group's rows stay spread.
-    start = fit_on.join(materialise(med, "medians"), "grp")
+    start = meet(fit_on, materialise(med, "medians"), ["grp"], few)
     dist = sum((F.pow((F.col(f"x{i}") - F.col(f"c{i}")) / F.lit(FLOORS[i]), 2) for i in range(1, DIMS)), F.pow((F.col("x0") - F.col("c0")) / F.lit(FLOORS[0]), 2))
-    rows = start.withColumn("d2", dist).select("grp", *[f"x{i}" for i in range(DIMS)], "d2")
+    rows = start.withColumn("d2", dist).select("grp", "salt", *[f"x{i}" for i in range(DIMS)], "d2")
     fit = None
     for _ in range(STEPS):
         edge = rows.groupBy("grp").agg(F.percentile_approx("d2", H_SHARE, 1000).alias("edge"))
-        half = rows.join(materialise(edge, "edges"), "grp").filter(F.col("d2") <= F.col("edge"))
+        half = meet(rows, materialise(edge, "edges"), ["grp"], few).filter(F.col("d2") <= F.col("edge"))
         fit = materialise(_moments(half), "mcd")
-        rows = _with_distance(fit_on, fit, 1.0).drop("n_fit")
-    out = _with_distance(v, fit, CONSISTENCY)
+        rows = _with_distance(fit_on, fit, 1.0, few).drop("n_fit")
+    out = _with_distance(v, fit, CONSISTENCY, few)
     judged = F.coalesce(F.col("n_fit"), F.lit(0)) >= int(MIN_GROUP * H_SHARE)
     d2 = F.when(judged, F.col("d2"))
     return out.select(
