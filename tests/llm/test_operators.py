@@ -318,3 +318,26 @@ def test_quality_rejects_outliers_only(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in quality.filter_quality(df).collect()}
     assert not {k for k in kept if k >= 1000} and len(kept) >= 396
+
+
+def test_simhash_keeps_one_of_each_group(spark):
+    same, other = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [
+        (None, same), (None, same), (None, other),  # no ids: one row of each group
+        (3, "q w e r t y"), (3, "q w e r t y"), (4, "q w e r t y"),  # repeated rows
+        (9, None), (8, ""),  # both have fingerprint zero
+        (5, "something else is here now"), (5, "another text under that id again"),  # a shared id
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()), key=str)
+    want = [(None, same), (None, other), (3, "q w e r t y"), (8, ""), (5, rows[8][1]), (5, rows[9][1])]
+    assert got == sorted(want, key=str)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_quality_is_the_same_for_few_and_many_groups(docs):
+    def verdicts(few: int):
+        found = quality.quality_verdicts(docs, few_groups=few).select("doc_id", "kept", "base_failed").collect()
+        return sorted(map(str, found))
+
+    assert verdicts(0) == verdicts(quality.FEW_GROUPS)
