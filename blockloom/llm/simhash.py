@@ -15,6 +15,12 @@ share one of these; such a group never has more than 65 members.
 Only distinct fingerprints are linked; documents with equal fingerprints are joined by an
 aggregation, so that a third of all rows being copies costs nothing. Components are found
 by alternating star contraction, with aggregations and joins over written tables.
+
+A radius of 2 bits misses most texts that share four fifths of their five-word shingles
+(these lie 3 to 11 bits apart), and no block key serves such radii at scale. Where a
+similarity is asked for (``keep_one``), MinHash bands of the shingles give further
+candidates, and those whose exact Jaccard similarity reaches it are linked besides. Two
+texts at 0.8 share none of the bands with a probability of 8 in a million.
 """
 
 from __future__ import annotations
@@ -33,6 +39,9 @@ RADIUS = 2
 PIVOTS = 16
 DENSE = 200  # different fingerprints that share a key, beyond which pairs aren't formed
 MASK = (1 << 64) - 1
+BANDS, BAND_ROWS = 64, 8
+FEW = 64  # members of a band key up to which all its pairs are compared at once
+LEADERS = 8  # members of a larger key that all its others are compared with in one round
 
 
 def fingerprint(text: str | None) -> int:
@@ -58,6 +67,42 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
+def shingles(text: str | None, size: int):
+    """Sorted distinct 64-bit hashes of the text's shingles of ``size`` words; a shorter
+    text is one shingle. Words as in ``fingerprint``."""
+    import numpy as np
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8"))
+
+
+def _band_seeds():
+    import numpy as np
+
+    draws = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, (3, BANDS * BAND_ROWS, 1), dtype=np.uint32)
+    return draws[0], draws[1] | np.uint32(1), draws[2] | np.uint32(1)
+
+
+def bands(grams, seeds) -> list[int]:
+    """Keys, one for each band, of the least hashes of ``grams``, signed."""
+    import numpy as np
+    import xxhash
+
+    if not len(grams):
+        return []
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(0, len(grams), 1 << 10):  # bounded memory for very long texts
+        h = grams[k : k + (1 << 10)].astype(np.uint32) ^ seeds[0]
+        h *= seeds[1]
+        h ^= h >> np.uint32(15)
+        h *= seeds[2]
+        np.minimum(least, h.min(axis=1), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = [fingerprint(t) for t in b.column("text").to_pylist()]
@@ -173,10 +218,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("root"))
 
 
-def _placed(fps: DataFrame) -> DataFrame:
-    """Adds root (smallest fingerprint reachable) and component_id to rows with an fp."""
+def _placed(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Adds root (smallest fingerprint reachable) and component_id to rows with an fp.
+
+    ``more``: pairs a < b to link besides."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp")))
+    edges = links(distinct.select("fp"))
+    roots = components(edges if more is None else edges.union(more).distinct())
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(placed.join(named, "root").select("fp", "root", "component_id"), "fp")
@@ -202,12 +250,110 @@ def _identity() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1__"), F.hash("doc_id", "text").alias("k2__")]
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _banded(docs: DataFrame, size: int) -> DataFrame:
+    """As ``fingerprints``, with n (distinct shingles) and bands (keys) besides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _band_seeds()
+        for whole in batches:
+            f = next(_fingerprints(iter([whole])))
+            n, keys = [], []
+            for t in whole.column("text").to_pylist():
+                grams = shingles(t, size)
+                n.append(len(grams))
+                keys.append(bands(grams, seeds))
+            more = [pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*f.columns, *more], [*f.schema.names, "n", "bands"])
+
+    thin = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text", *_identity())
+    return thin.mapInArrow(run, "doc_id long, k1__ long, k2__ int, fp long, n long, bands array<long>")
+
+
+def _order() -> Column:
+    """By which one row of a component is chosen."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1__", "k2__")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for x in batches:
+            good = []
+            for g, h in zip(x.column("g").to_pylist(), x.column("h").to_pylist()):
+                g, h = np.frombuffer(g, "<u8"), np.frombuffer(h, "<u8")
+                both = len(np.intersect1d(g, h, assume_unique=True))
+                good.append(both >= similarity * (len(g) + len(h) - both) - 1e-9)
+            yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    g = sets.select(F.col("fp").alias("a"), F.col("grams").alias("g"))
+    h = sets.select(F.col("fp").alias("b"), F.col("grams").alias("h"))
+    return pairs.join(h, "b").join(g, "a").select("a", "b", "g", "h").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, best: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Pairs a, b of fingerprints whose first rows (``best``) are similar.
+
+    Members of a large key aren't compared with all others but, in rounds, with its first
+    rows by the order in which rows are chosen; what is similar to one of them leaves the
+    key. A row that is chosen in the end is similar to no row before it, so it is compared
+    with every other such row: no two chosen rows that share a key are similar."""
+    keyed = best.select("fp", "ord", "n", F.explode("bands").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    here = materialise(keyed.join(counts, "key"), "bands")
+    members = here.select("fp", "ord.k1__", "ord.k2__").distinct()
+    texts = only(docs, doc_id="doc_id", text="text").select("text", *_identity())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            grams = pa.array([shingles(t, size).tobytes() for t in x.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([x.column("fp"), grams], ["fp", "grams"])
+
+    found = texts.join(members, ["k1__", "k2__"]).select("fp", "text").mapInArrow(run, "fp long, grams binary")
+    sets = materialise(found.dropDuplicates(["fp"]), "shingles")
+    out = None
+    while True:
+        first = _leaders(here)
+        here = here.join(first, "key")
+        few = here.filter(F.col("m") <= FEW)
+        close = (F.col("x.n") >= similarity * F.col("y.n") - 1e-9) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-9)
+        pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.ord") < F.col("y.ord")) & close)
+        pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        large = here.filter(F.col("m") > FEW).select("*", F.explode("first").alias("x"))
+        led = large.select("x", F.struct("ord", "n", "fp").alias("y")).filter((F.col("x.ord") < F.col("y.ord")) & close)
+        pairs = pairs.union(led.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))).distinct()
+        near = materialise(_verified(materialise(pairs, "pairs"), sets, similarity), "similar")
+        out = near if out is None else out.unionByName(near)
+        # Members of large keys but the leaders and what is similar to one of them.
+        left = large.filter(F.col("ord") > F.element_at("first", -1)["ord"])
+        gone = left.join(near.select(F.col("a").alias("la"), F.col("b").alias("fp")), "fp").filter(F.col("x.fp") == F.col("la")).select("fp", "key").distinct()
+        here = materialise(left.select("fp", "ord", "n", "key").distinct().join(gone, ["fp", "key"], "left_anti"), "bands")
+        if here.isEmpty():
+            return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
+def _leaders(here: DataFrame) -> DataFrame:
+    """key, m (members) and first (its first LEADERS members in order)."""
+    row = F.struct("ord", "n", "fp")
+    part = here.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(64)))
+    some = part.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("m"), F.slice(F.sort_array(F.collect_list(row)), 1, LEADERS).alias("first"))
+    return some.groupBy("key").agg(F.sum("m").alias("m"), F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, LEADERS).alias("first"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = None) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; a row without a
     doc_id stays only where no row of its component has one. Columns as in ``docs``.
 
-    Where rows repeat that document, one of them stays."""
-    found = _placed(materialise(fingerprints(docs), "fingerprints"))
+    With ``similarity``, texts whose sets of ``shingle``-word shingles have at least this
+    Jaccard similarity are linked besides. Where rows repeat a document, one stays."""
+    if similarity is None:
+        found = _placed(materialise(fingerprints(docs), "fingerprints"))
+    else:
+        fps = materialise(_banded(docs, shingle), "fingerprints")
+        best = materialise(fps.groupBy("fp").agg(F.min(_order()).alias("ord"), F.min_by(F.struct("n", "bands"), _order()).alias("x")).select("fp", "ord", "x.n", "x.bands"), "best")
+        found = _placed(fps.drop("n", "bands"), similar(docs, best, shingle, similarity))
     rows = found.groupBy("root", "k1__", "k2__").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n__"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1__", "k2__", "n__")
     first = rows.groupBy("root").agg(F.min(order).alias("x"))

@@ -341,3 +341,29 @@ def test_quality_is_the_same_for_few_and_many_groups(docs):
         return sorted(map(str, found))
 
     assert verdicts(0) == verdicts(quality.FEW_GROUPS)
+
+
+@pytest.mark.parametrize("few", [2, 16])
+def test_simhash_keeps_one_of_planted_edits(spark, monkeypatch, few):
+    """No two kept texts have 0.8 of their five-word shingles in common; each one dropped is linked to another."""
+    import random
+
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng, rows = random.Random(5), []
+    for k in range(8):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        for j in range(12):
+            w = list(base)
+            for _ in range(j % 6):
+                w[rng.randrange(120)] = f"new{rng.randrange(10**6)}"
+            rows.append((100 * k + j, " ".join(w), "en", "s"))
+    rows.append((9000, "alone " + sentence(77), "en", "s"))
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    near = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs, shingle=5, similarity=0.8).collect()}
+    assert near and 9000 in kept
+    assert not {p for p in near if set(p) <= kept}
+    fps = {i: brute_fingerprint(t) for i, t, *_ in rows}
+    assert all(any((min(i, j), max(i, j)) in near or i != j and (fps[i] ^ fps[j]).bit_count() <= 2 for i in sets) for j in set(sets) - kept)
+    assert len(kept) < len(simhash.keep_one(docs).collect())
