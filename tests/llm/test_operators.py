@@ -367,3 +367,27 @@ def test_simhash_keeps_one_of_planted_edits(spark, monkeypatch, few):
     fps = {i: brute_fingerprint(t) for i, t, *_ in rows}
     assert all(any((min(i, j), max(i, j)) in near or i != j and (fps[i] ^ fps[j]).bit_count() <= 2 for i in sets) for j in set(sets) - kept)
     assert len(kept) < len(simhash.keep_one(docs).collect())
+
+
+@pytest.mark.parametrize("targets", [None, {"s0": 0.5, "s1": 0.25, "s2": 0.25}])
+def test_packing_windows_hold_the_mixture(spark, monkeypatch, targets):
+    monkeypatch.setattr(packing, "LANE_TOKENS", 1 << 15)
+    rows = [(k, sentence(k, 200 + k * 37 % 800), "en", f"s{k % 7 % 4}") for k in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    pieces = packing.pack(df, targets).collect()
+    check_packing([(r[0], r[1]) for r in rows], pieces)
+    own, windows = collections.Counter(), collections.defaultdict(collections.Counter)
+    for p in pieces:
+        own[rows[p.doc_id][3]] += p.length
+        windows[p.sequence_id][rows[p.doc_id][3]] += p.length
+    total = sum(own.values())
+    full = [windows[k] for k in sorted(windows) if sum(windows[k].values()) == packing.WINDOW]
+    assert len({k >> 32 for k in windows}) > 3 and len(full) > 20
+    if targets is None:
+        want = {s: n / total for s, n in own.items()}
+    else:  # until the first source runs out, which is none before this window
+        want = targets
+        full = full[: int(min(own[s] / w for s, w in targets.items()) / packing.WINDOW) - 8]
+        assert len(full) > 3
+    for w in full:
+        assert all(abs(w[s] - want.get(s, 0) * packing.WINDOW) <= 2 * packing.MIN_PIECE + 1 for s in own)
