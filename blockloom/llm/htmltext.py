@@ -1,12 +1,16 @@
 """HTML extraction (operator 1): line-block distribution.
 
-Markup is stripped to lines, one for each block of the page; blocks that their markup
-names as furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments)
-become empty lines, as does text that is mostly links. Text lengths are summed over a
-sliding window of lines. Where the sum rises over a threshold a text surges, where it
-falls to nothing it dives; what stands between is kept. Where the page marks its main
-text (article, main), lines outside weigh nothing and inside every text weighs, so that
-short paragraphs of a marked article are never lost.
+Markup is stripped to lines, one for each block of the page. A line weighs as much as it
+has text: nothing if its element is furniture (menus, headers, footers, sidebars, notices,
+adverts, forms, comments), if it is mostly links, or if it is a short label without the end
+of a sentence. Weights are summed over a sliding window of lines. The fullest window is
+where the page's main text is. Where a main element (article, main) surrounds it, the text
+is what that element holds, so that short paragraphs are never lost; main elements that
+don't hold it, such as teaser cards, say nothing. Otherwise a text surges where the sum
+rises over a threshold and dives where it falls to nothing; what stands between is kept.
+
+Class names are only a weak prior: they never drop a heading, and where they would leave
+no text at all they are ignored.
 
 Scale: a map over rows with whole pages, no shuffle; one pass over each page."""
 
@@ -25,6 +29,8 @@ from .common import only
 
 WINDOW = 3
 SURGE = 80  # characters in a window; pages whose fullest window has fewer use that one's sum
+LABEL = 60  # shorter lines without the end of a sentence weigh nothing
+SENTENCE_END = tuple(".!?\u2026:;\"'\u201d\u2019\u00bb)\u3002\uff01\uff1f")
 
 # Fixed values of HTML: elements that end a line, that hold no text, that are furniture.
 BLOCKS = frozenset(
@@ -39,6 +45,9 @@ NEVER = frozenset(
     "button select datalist textarea input label fieldset dialog menu title xmp noembed noframes".split()
 )
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Parts of a text have headers of their own.
+TEXT_PARTS = frozenset("article entry post story content section chapter main page title".split())
 # Elements that a block's start closes when they are open inside it.
 CLOSED_BY_BLOCK = frozenset(["p"])
 ITEMS = frozenset("li dt dd tr td th option".split())
@@ -64,21 +73,27 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(raw) if m[1].lower() in WANTED}
 
 
-def _furniture(tag: str, attrs: dict[str, str]) -> bool:
+def _furniture(tag: str, attrs: dict[str, str]) -> int:
+    """2: by its element or because it isn't shown; 1: by its names; 0: it isn't."""
     if tag in NEVER:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+        return 2
+    if tag in ("html", "body", "main"):
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return 2
     if attrs.get("role", "").lower() in FURNITURE_ROLES:
-        return True
+        return 2
+    if tag in HEADINGS:
+        return 0
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         parts = re.split(r"[-_:]+", name)
+        if {"with", "has", "no", "without"} & set(parts[:-1]):
+            continue
+        if parts[-1] in ("header", "title") and TEXT_PARTS & set(parts[:-1]):
+            continue
         if name in FURNITURE or parts[-1] in FURNITURE or parts[0] in FURNITURE and len(parts) > 1 and parts[-1] not in ("content", "body", "text"):
-            if not {"with", "has", "no", "without"} & set(parts[:-1]):
-                return True
-    return False
+            return 1
+    return 0
 
 
 def _main(tag: str, attrs: dict[str, str]) -> bool:
@@ -88,36 +103,51 @@ def _main(tag: str, attrs: dict[str, str]) -> bool:
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "inside", "gone")
+    __slots__ = ("parts", "linked", "inside", "gone", "heading")
 
-    def __init__(self, inside: int, gone: bool):
+    def __init__(self):
         self.parts: list[str] = []
-        self.linked, self.inside, self.gone = 0, inside, gone
+        self.linked, self.inside, self.gone, self.heading = 0, (), 0, False
 
 
-def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters of it in links, how deep in a main element, furniture) per block."""
-    lines, open_tags = [_Line(0, False)], []  # open_tags: (name, furniture, main)
-    state = [0, 0, 0]  # depth of furniture, of main elements, of links
+def page_lines(html: str) -> list[tuple[str, int, tuple[int, ...], int, bool]]:
+    """(text, characters of it in links, the main elements around it, furniture, heading)
+    per block; furniture as in ``_furniture``."""
+    lines, open_tags = [_Line()], []  # open_tags: (name, furniture, number of a main element)
+    depth = [0, 0, 0, 0]  # of links, furniture by names, furniture by element, headings
+    mains: list[int] = []
+    numbers = 0
     count: Counter[str] = Counter()  # of open tags by name
 
+    def mark(line: _Line) -> None:
+        line.inside, line.gone, line.heading = tuple(mains), 2 if depth[2] else 1 if depth[1] else 0, depth[3] > 0
+
     def new_line() -> None:
-        if lines[-1].parts:
-            lines.append(_Line(state[1], state[0] > 0))
-        else:
-            # empty lines keep their place in the distribution
-            lines[-1].inside, lines[-1].gone = state[1], state[0] > 0
-            if len(lines) < 2 or lines[-2].parts or len(lines) > 1 and not _blank_run(lines):
-                lines.append(_Line(state[1], state[0] > 0))
-
-    def push(name: str, bad: bool, good: bool) -> None:
-        open_tags.append((name, bad, good))
-        count[name] += 1
-        state[0], state[1], state[2] = state[0] + bad, state[1] + good, state[2] + (name == "a")
+        if not lines[-1].parts and _blank_run(lines):
+            mark(lines[-1])  # a longer gap says nothing more
+            return
+        if lines[-1].parts or len(lines) < 2 or any(x.parts for x in lines[-WINDOW - 1 :]):
+            lines.append(_Line())
+        mark(lines[-1])
 
-    def drop(name: str, bad: bool, good: bool) -> None:
+    def push(name: str, bad: int, main: int) -> None:
+        open_tags.append((name, bad, main))
+        count[name] += 1
+        depth[0] += name == "a"
+        depth[3] += name in HEADINGS
+        if bad:
+            depth[bad] += 1
+        if main:
+            mains.append(main)
+
+    def drop(name: str, bad: int, main: int) -> None:
         count[name] -= 1
-        state[0], state[1], state[2] = state[0] - bad, state[1] - good, state[2] - (name == "a")
+        depth[0] -= name == "a"
+        depth[3] -= name in HEADINGS
+        if bad:
+            depth[bad] -= 1
+        if main:
+            mains.remove(main)
 
     def close(k: int) -> None:
         for t in open_tags[k:]:
@@ -125,11 +155,12 @@ def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
         del open_tags[k:]
 
     def text(raw: str) -> None:
-        if state[0] or not raw:
+        if depth[2] or not raw:
             return
-        lines[-1].parts.append(raw)
-        if state[2]:
-            lines[-1].linked += len(raw.strip())
+        run = unescape(raw) if "&" in raw else raw
+        lines[-1].parts.append(run)
+        if depth[0]:
+            lines[-1].linked += len(run.strip())
 
     at, size = 0, len(html)
     while at < size:
@@ -190,68 +221,93 @@ def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
         if raw.endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "span", "em", "strong"):
             continue
         attrs = _attributes(raw)
-        bad, good = _furniture(tag, attrs), _main(tag, attrs)
-        push(tag, bad, good)
+        bad, main = _furniture(tag, attrs), 0
+        if _main(tag, attrs):
+            main = numbers = numbers + 1
+        push(tag, bad, main)
         if tag in BLOCKS or bad:
             new_line()
-    out = []
-    for x in lines:
-        t = " ".join(unescape("".join(x.parts)).split())
-        out.append((t, x.linked, x.inside, x.gone))
-    return out
+    return [(" ".join("".join(x.parts).split()), x.linked, x.inside, x.gone, x.heading) for x in lines]
 
 
 def _blank_run(lines: list[_Line]) -> bool:
-    """Whether WINDOW lines before the last are blank: a longer gap says nothing more."""
+    """Whether WINDOW lines before the last are blank."""
     return len(lines) > WINDOW and not any(x.parts for x in lines[-WINDOW - 1 :])
 
 
-def main_text(html: str | None) -> str:
-    """The blocks between surge and dive points, joined by two line feeds."""
-    if not html:
-        return ""
-    lines = page_lines(html)
-    marked = any(inside and t for t, _, inside, _ in lines)
-    weights = []
-    for t, linked, inside, gone in lines:
-        if gone or not t or marked and not inside:
-            weights.append(0)
-        elif marked:
-            weights.append(len(t))
-        else:
-            weights.append(0 if 2 * linked > len(t) else len(t))
-    n = len(weights)
-    sums, run = [0] * n, 0  # sums[i]: lines i .. i + WINDOW - 1
-    for i in range(n - 1, -1, -1):
-        run += weights[i] - (weights[i + WINDOW] if i + WINDOW < n else 0)
+def weigh(text: str, linked: int, gone: bool, heading: bool) -> int:
+    """What a line adds to the distribution."""
+    if gone or 2 * linked > len(text) or not heading and len(text) < LABEL and not text.endswith(SENTENCE_END):
+        return 0
+    return len(text)
+
+
+def window_sums(weights: list[int]) -> list[int]:
+    """The sum of each line's weight and those of the WINDOW - 1 lines after it."""
+    sums, run = [0] * len(weights), 0
+    for i in range(len(weights) - 1, -1, -1):
+        run += weights[i] - (weights[i + WINDOW] if i + WINDOW < len(weights) else 0)
         sums[i] = run
-    full = max(sums, default=0)
-    if not full:
-        return ""
-    surge = 1 if marked else min(SURGE, full)
-    kept: list[str] = []
-    i = 0
-    while i < n:
-        if sums[i] < surge or not weights[i]:
+    return sums
+
+
+def runs(weights: list[int]) -> list[tuple[int, int]]:
+    """(surge, dive) of each stretch of text: from a weighing line whose window sum reaches
+    the threshold to where the sum is nothing."""
+    sums, out, i = window_sums(weights), [], 0
+    surge = min(SURGE, max(sums, default=0))
+    while i < len(weights):
+        if not surge or sums[i] < surge or not weights[i]:
             i += 1
             continue
         end = i
-        while end < n and sums[end]:
+        while end < len(weights) and sums[end]:
             end += 1
-        for k in range(i, end):
-            t, _, inside, gone = lines[k]
-            if t and not gone and (inside or not marked):
-                kept.append(t)
+        out.append((i, end))
         i = end
-    return "\n\n".join(kept)
+    return out
+
+
+def _element(lines: list, weights: list[int], peak: int) -> int | None:
+    """The innermost main element around the fullest window that holds at least half of
+    what the outermost one there holds."""
+    around = next((lines[k][2] for k in range(peak, min(peak + WINDOW, len(lines))) if weights[k] and lines[k][2]), ())
+    if not around:
+        return None
+    held = Counter()
+    for (_, _, inside, _, _), w in zip(lines, weights):
+        for number in inside:
+            held[number] += w
+    return next(n for n in reversed(around) if 2 * held[n] >= held[around[0]])
+
+
+def main_text(html: str | None) -> str:
+    """The blocks of the main text, joined by two line feeds."""
+    if not html:
+        return ""
+    lines = page_lines(html)
+    for least in (1, 2):  # furniture by names counts unless nothing else is there
+        gone = [x[3] >= least or not x[0] for x in lines]
+        weights = [weigh(t, linked, out, heading) for (t, linked, _, _, heading), out in zip(lines, gone)]
+        if not any(weights):  # a page of labels only: their lengths must do
+            weights = [0 if out or 2 * linked > len(t) else len(t) for (t, linked, *_), out in zip(lines, gone)]
+        if any(weights):
+            break
+    else:
+        return ""
+    sums = window_sums(weights)
+    number = _element(lines, weights, sums.index(max(sums)))
+    if number is not None:
+        return "\n\n".join(x[0] for x, out in zip(lines, gone) if not out and number in x[2])
+    return "\n\n".join(lines[k][0] for a, b in runs(weights) for k in range(a, b) if not gone[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``.
 
     Null or empty html gives the empty text; unclosed markup is closed as browsers do;
-    pages without a main element are judged by their line-block distribution alone;
-    repeated rows come back as often as they are there. An empty table gives an empty
+    pages whose main text no main element holds are judged by the distribution alone; ties
+    between equally full windows go to the first; repeated rows come back as often as they are there. An empty table gives an empty
     table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
