@@ -1,17 +1,18 @@
 """Secret scans (operator 2): patterns, and sliding-window Shannon entropy.
 
 Base patterns give assign, access and hex spans. Besides, every run of 20 or more token
-characters is a candidate: for each character class (hex digits, base64 letters) a window
-slides over the candidate's stretches of that class. The entropy follows from the sum of
-c * log2(c) over the counts c of the window's characters; a step changes two counts, so a
-window costs the same at any length. Windows over the class's threshold are united to
-spans, unless the allow-list knows what they are.
+characters is a candidate, whatever base spans it touches: for each character class (hex
+digits, base64 letters) a window slides over the candidate's stretches of that class. The
+entropy follows from the sum of c * log2(c) over the counts c of the window's characters; a
+step changes two counts, so a window costs the same at any length. Windows over the class's
+threshold are united to spans, unless the allow-list knows what they are. A value that a
+base pattern finds as well has both spans.
 
-Scale: a map over rows, whole texts, no shuffle; Arrow batches bound the memory."""
+Scale: a map over rows, whole texts, no shuffle; Arrow batches bound the memory; the time
+is linear in a text's length."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -34,11 +35,12 @@ CLASSES = {
     "hex": (re.compile(r"[0-9a-fA-F]+"), 20, 2.9),
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.7),
 }
-# What looks random but is public: matched against the whole candidate with up to 16
-# characters before it.
+# What looks random but is public: matched against the whole candidate, then against it
+# with what stands before it on its line, at most BEFORE characters.
+BEFORE = 16
 ALLOW = (
-    r"[0-9]+$",
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"[0-9]+\Z",
+    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z",
     r"(?i:.{0,16}\b(sha1|sha256|sha384|sha512|md5|commit|rev|etag)[\"']?[:=\s-]\s?).*",
     r"(?i:.*(example|dummy|placeholder|xxxxxx|changeme)).*",
 )
@@ -86,24 +88,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def extra_spans(text: str, base: list[tuple[str, int, int]], allow: list[re.Pattern]) -> list[tuple[str, int, int]]:
-    """Entropy spans outside the base ones, of candidates that the allow-list doesn't know."""
-    found: set[tuple[int, int]] = set()
+def extra_spans(text: str, allow: list[re.Pattern]) -> list[tuple[str, int, int]]:
+    """United entropy spans of all candidates that the allow-list doesn't know."""
+    out: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for _, s, e in base):
-            continue
-        if any(p.match(m[0]) or p.match(text[max(0, a - 16) : b]) for p in allow):
+        line = max(0, a - BEFORE, text.rfind("\n", max(0, a - BEFORE), a) + 1)
+        if any(p.match(m[0]) or p.match(text[line:b]) for p in allow):
             continue
-        for chars, window, least in CLASSES.values():
-            for r in chars.finditer(text, a, b):
-                found.update(entropy_spans(text, window, least, *r.span()))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+        found = [x for chars, window, least in CLASSES.values() for r in chars.finditer(text, a, b) for x in entropy_spans(text, window, least, *r.span())]
+        first = len(out)  # candidates don't touch each other
+        for x, y in sorted(found):
+            if len(out) > first and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(y, out[-1][1]))
+            else:
+                out.append((x, y))
     return [("entropy", *s) for s in out]
 
 
@@ -113,7 +112,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def scan(text: str | None, allow: list[re.Pattern]) -> tuple[int, int, int, int, str, str]:
     base = base_spans(text) if text else []
-    more = extra_spans(text, base, allow) if text else []
+    more = extra_spans(text, allow) if text else []
     n = [sum(s[0] == k for s in base) for k in KINDS[:3]]
     every = sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
     return *n, len(more), joined(base), joined(every)
@@ -125,7 +124,7 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     Spans are kind:start:end in code points, end exclusive, by start and then by kind.
     Null text counts as empty and has no span; repeated rows come back as often as they
     are there; ``allow`` suppresses entropy spans only. An empty table gives an empty
-    table."""
+    table. Extra columns are left behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [re.compile(p) for p in allow]
@@ -140,6 +139,3 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     thin = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
     return thin.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_spans string, spans string")
 
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
