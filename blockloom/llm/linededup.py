@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, row_key
+from .common import free, let, materialise, row_key
 
 MIN_SITES = 10
-# A share of the threshold on either side, over four standard errors of the sketches.
-NEAR = 0.25
+# A share of the threshold on either side: some four standard errors (1.04 / sqrt(256)).
+NEAR = 0.26
 LOG_K = 8
 BLANK = " \t\r"
 
@@ -94,39 +94,40 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, count: str
     All rows stay, also those left with no text. Null texts stay null; blank lines are
     never boilerplate; lines are compared without white space at their ends; a null source
     is no site; a null doc_id never keeps the first copy. Rows that repeat the first
-    document keep their lines as it does. Columns beyond those of documents stay."""
+    document keep their lines as it does. Columns beyond those of documents stay, whatever
+    their names; ``count`` must be none of them."""
     names = docs.columns
+    key, gone_at, new = free(docs, "key__", "gone__", "new__")
     found = materialise(lines(docs), "lines")
     boiler = boilerplate(found, min_sites)
     gone = (
         found.join(boiler, ["h", "h2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")) | F.col("doc_id").isNull())
-        .groupBy("row_key")
-        .agg(F.sort_array(F.collect_set("pos")).alias("gone__"))
+        .groupBy(F.col("row_key").alias(key))
+        .agg(F.sort_array(F.collect_set("pos")).alias(gone_at))
     )
-    here = docs.withColumn("key__", row_key()).join(gone, F.col("key__") == gone["row_key"], "left")
+    here = docs.withColumn(key, row_key()).join(gone, key, "left")
     # A flag for each line up to the last that goes, in one pass over the positions.
     flags = F.flatten(
         F.transform(
-            "gone__",
+            gone_at,
             lambda p, i: F.concat(
-                F.array_repeat(F.lit(False), (p - F.coalesce(F.get("gone__", i - 1), F.lit(-1)) - 1).cast("int")),
+                F.array_repeat(F.lit(False), (p - F.coalesce(F.get(gone_at, i - 1), F.lit(-1)) - 1).cast("int")),
                 F.array(F.lit(True)),
             ),
         )
     )
     kept = let(flags, lambda f: F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get(f, i), F.lit(False))))
     kept = F.array_join(kept, "\n")
-    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(kept)
-    here = here.withColumn("new__", text)
+    here = here.withColumn(new, F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(kept))
     out = []
     for c in names:
         if c == "text":
-            out.append(F.col("new__").alias("text"))
+            out.append(F.col(new).alias("text"))
         elif c == "n_chars":
-            out.append(F.coalesce(F.char_length("new__"), F.lit(0)).cast("long").alias("n_chars"))
+            out.append(F.coalesce(F.char_length(new), F.lit(0)).cast("long").alias("n_chars"))
         else:
             out.append(here[c])
     if count:
-        out.append(F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias(count))
+        out.append(F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias(count))
     return here.select(*out)
