@@ -1,47 +1,55 @@
 """SimHash near-duplicates (operator 7): fingerprints linked at 2 or fewer differing bits.
 
-Candidates come from equal keys, never from all pairs: a fingerprint is cut into four
-16-bit blocks, and two fingerprints that differ in two bits or fewer agree on at least two
-whole blocks, hence on one of six 32-bit keys. Each fingerprint carries a pivot table,
-its Hamming distances to fixed reference fingerprints. By the triangle inequality a pair
-whose tables differ by more than the radius in any coordinate cannot be linked; the join
-condition drops it there, and only survivors are verified bit by bit.
-
-Keys with many different fingerprints (dense clusters of near copies) would make pairs in
-the square of their size. Members of such keys take an exact linear way instead: each
-emits itself and its 64 one-bit neighbours, and two fingerprints within two bits always
-share one of these; such a group never has more than 65 members.
+Pivot distance tables: every fingerprint's Hamming distances to reference fingerprints are
+computed once, and pairs are found and dropped by them.
+
+* Search references: the zero fingerprint and 32 references with two set bits each, no bit
+  in two of them. A fingerprint's distance to one of these, less its distance to zero, is a
+  coordinate of three possible values. Two linked fingerprints differ in at most two of the
+  32 coordinates. The coordinates are dealt to GROUPS groups; linked pairs agree on all but
+  two groups, so candidates are the pairs that agree on one of the 15 choices of four
+  groups. The keys of the candidate join are these distances and nothing else.
+* Bounding references: PIVOTS fingerprints made by a rule. By the triangle inequality a
+  pair whose distances to any of them differ by more than the radius can't be linked; the
+  join drops it by the largest coordinate difference, and survivors are verified.
+
+A key shared by many different fingerprints (a dense cluster of near copies) would make
+pairs in the square of their number. Past DENSE members an exact linear way takes over:
+each emits itself and its 64 one-bit neighbours, and two fingerprints within two bits
+always share one of these; such a group never has more than 65 members.
 
 Only distinct fingerprints are linked; documents with equal fingerprints are joined by an
 aggregation, so that a third of all rows being copies costs nothing. Components are found
 by alternating star contraction, with aggregations and joins over written tables.
 
 A radius of 2 bits misses most texts that share four fifths of their five-word shingles
-(these lie 3 to 11 bits apart), and no block key serves such radii at scale. Where a
-similarity is asked for (``keep_one``), MinHash bands of the shingles give further
-candidates, and those whose exact Jaccard similarity reaches it are linked besides. Two
-texts at 0.8 share none of the bands with a probability of 8 in a million.
+(these lie 3 to 11 bits apart), and no pivots serve such radii at scale. Where a similarity
+is asked for (``keep_one``), MinHash bands of the shingles give further candidates, and
+those whose exact Jaccard similarity reaches it are linked besides. Two texts at 0.8 share
+none of the bands with a probability of 8 in a million.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, only
+from .common import free, let, materialise, only
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
 PIVOTS = 16
+GROUPS = 6  # of search coordinates; linked pairs agree on GROUPS - RADIUS of them
 DENSE = 200  # different fingerprints that share a key, beyond which pairs aren't formed
 MASK = (1 << 64) - 1
 BANDS, BAND_ROWS = 64, 8
-FEW = 64  # members of a band key up to which all its pairs are compared at once
-LEADERS = 8  # members of a larger key that all its others are compared with in one round
+LEADERS = 16  # members of a band key that its others are compared with in the first round
+GROWTH = 4  # times as many in each later one
 
 
 def fingerprint(text: str | None) -> int:
@@ -118,26 +126,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return thin.mapInArrow(_fingerprints, "doc_id long, k1__ long, k2__ int, fp long")
 
 
-def _pivots() -> list[int]:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def bounding_references() -> list[int]:
     """Reference fingerprints by a rule: multiples of the 64-bit golden ratio, mixed."""
     out = []
     for i in range(1, PIVOTS + 1):
         x = (i * 0x9E3779B97F4A7C15) & MASK
         x ^= x >> 29
         x = (x * 0xBF58476D1CE4E5B9) & MASK
-        x ^= x >> 32
-        out.append(x - (1 << 64) if x >> 63 else x)
+        out.append(x ^ x >> 32)
     return out
 
 
+def search_references() -> list[int]:
+    """References with two set bits each that cover all 64 bits once."""
+    return [0b11 << 2 * i for i in range(32)]
+
+
+def distance(fp: Column, reference: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(reference)))).cast("long")
+
+
 def with_pivot_table(fps: DataFrame) -> DataFrame:
-    """Adds t0, t1: eight Hamming distances each, seven bits apiece."""
-    p = _pivots()
+    """Adds t0, t1: eight bounding distances each, seven bits apiece."""
+    p = bounding_references()
     for t in range(PIVOTS // 8):
         packed = F.lit(0).cast("long")
         for i in range(8):
-            d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(p[8 * t + i]))).cast("long")
-            packed = packed.bitwiseOR(F.shiftleft(d, 7 * i))
+            packed = packed.bitwiseOR(F.shiftleft(distance(F.col("fp"), p[8 * t + i]), 7 * i))
         fps = fps.withColumn(f"t{t}", packed)
     return fps
 
@@ -152,34 +171,58 @@ def _near_in_table() -> Column:
     return ok
 
 
+def search_keys(fp: Column) -> Column:
+    """An array of keys, one for each choice of groups: the search coordinates of these
+    groups, in base 3."""
+    refs, zero = search_references(), distance(fp, 0)
+    groups = [range(g, len(refs), GROUPS) for g in range(GROUPS)]
+    # (distance to zero - distance to the reference + 2) / 2 is 0, 1 or 2.
+    number = [sum((F.shiftright(zero - distance(fp, refs[c]) + 2, 1) * 3**k for k, c in enumerate(g)), F.lit(0).cast("long")) for g in groups]
+    most = 3 ** max(map(len, groups))
+
+    def keys(n: Column) -> Column:
+        out = []
+        for k, some in enumerate(combinations(range(GROUPS), GROUPS - RADIUS)):
+            key = F.lit(k).cast("long")
+            for g in some:
+                key = key * most + n[g]
+            out.append(key)
+        return F.array(*out)
+
+    return let(F.array(*number), keys)
+
+
+def keyed(distinct: DataFrame) -> DataFrame:
+    """fp and each of its search keys, one row a key."""
+    return distinct.select("fp", F.explode(search_keys(F.col("fp"))).alias("key"))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Pairs a.fp < b.fp of ``members`` (fp, key) with equal keys, not yet bounded."""
+    thin = with_pivot_table(members)
+    return thin.alias("a").join(thin.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
+
+
+def bounded(pairs: DataFrame) -> DataFrame:
+    """``candidates`` without those that a bounding reference rules out."""
+    return pairs.filter(_near_in_table())
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs a < b of distinct fingerprints that connect all within RADIUS bits.
 
     Between dense keys' members a link may be stated through the smallest fingerprint of
     a shared neighbourhood, which is itself within RADIUS of both or joins them."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = F.array(*[
-        F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j])
-        for k, (i, j) in enumerate(pairs)
-    ])
-    keyed = distinct.select("fp", F.explode(keys).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialise(keyed.join(counts, "key"), "simhash-keys")
-    thin = with_pivot_table(shared.filter(F.col("n") <= DENSE))
+    rows = keyed(distinct)
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialise(rows.join(counts, "key"), "simhash-keys")
     near = (
-        thin.alias("a")
-        .join(
-            thin.alias("b"),
-            (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.fp") < F.col("b.fp"))
-            & _near_in_table()
-            & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS),
-        )
+        bounded(candidates(shared.filter(F.col("n") <= DENSE).drop("n")))
+        .filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
         .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     )
     dense = shared.filter(F.col("n") > DENSE).select("fp").distinct()
-    around = F.concat(F.array(F.col("fp")), *[F.array(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)))) for i in range(64)])
+    around = F.concat(F.array(F.col("fp")), *[F.array(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)))) for i in range(64)])
     seen = dense.select("fp", F.explode(around).alias("around"))
     # The smallest and every other member of a neighbourhood: a bounded list.
     star = (
@@ -192,19 +235,19 @@ def links(distinct: DataFrame) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """fp and root (smallest fingerprint reachable) for every end of ``edges`` but the roots.
 
-    Large-star and small-star steps in turn, until nothing changes."""
+    Large-star and small-star steps in turn, until nothing changes; which takes rounds in
+    the logarithm of the longest chain."""
 
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     e = materialise(edges, "edges")
     now = state(e)
-    for _ in range(rounds):
-        if not now[0]:
-            break
+    then = None
+    while now[0] and then != now:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
@@ -213,8 +256,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = up.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("x"))
         e = materialise(small.select("x.a", "x.b").filter("a < b").distinct(), "edges")
         then, now = now, state(e)
-        if then == now:
-            break
     return e.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("root"))
 
 
@@ -296,13 +337,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar(docs: DataFrame, best: DataFrame, size: int, similarity: float) -> DataFrame:
     """Pairs a, b of fingerprints whose first rows (``best``) are similar.
 
-    Members of a large key aren't compared with all others but, in rounds, with its first
+    Members of a key aren't all compared with each other but, in rounds, with its first
     rows by the order in which rows are chosen; what is similar to one of them leaves the
-    key. A row that is chosen in the end is similar to no row before it, so it is compared
-    with every other such row: no two chosen rows that share a key are similar."""
-    keyed = best.select("fp", "ord", "n", F.explode("bands").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    here = materialise(keyed.join(counts, "key"), "bands")
+    key, as do these. Each round takes GROWTH times as many of them, so rounds are few
+    however large a key. A row that is chosen in the end is similar to no row before it, so
+    it is compared with every other such row: no two chosen rows that share a key are
+    similar."""
+    rows = best.select("fp", "ord", "n", F.explode("bands").alias("key"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    here = materialise(rows.join(counts, "key"), "bands")
     members = here.select("fp", "ord.k1__", "ord.k2__").distinct()
     texts = only(docs, doc_id="doc_id", text="text").select("text", *_identity())
 
@@ -313,33 +356,27 @@ def similar(docs: DataFrame, best: DataFrame, size: int, similarity: float) -> D
 
     found = texts.join(members, ["k1__", "k2__"]).select("fp", "text").mapInArrow(run, "fp long, grams binary")
     sets = materialise(found.dropDuplicates(["fp"]), "shingles")
-    out = None
+    out, done, count = None, None, LEADERS
+    close = (F.col("n") >= similarity * F.col("ln") - 1e-9) & (F.col("ln") >= similarity * F.col("n") - 1e-9)
     while True:
-        first = _leaders(here)
-        here = here.join(first, "key")
-        few = here.filter(F.col("m") <= FEW)
-        close = (F.col("x.n") >= similarity * F.col("y.n") - 1e-9) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-9)
-        pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.ord") < F.col("y.ord")) & close)
-        pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        large = here.filter(F.col("m") > FEW).select("*", F.explode("first").alias("x"))
-        led = large.select("x", F.struct("ord", "n", "fp").alias("y")).filter((F.col("x.ord") < F.col("y.ord")) & close)
-        pairs = pairs.union(led.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))).distinct()
-        near = materialise(_verified(materialise(pairs, "pairs"), sets, similarity), "similar")
+        # Spark applies this limit in each task before rows of a key meet.
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
+        first = here.withColumn("r", rank).filter(F.col("r") <= count)
+        first = materialise(first.select("key", F.col("fp").alias("lf"), F.col("ord").alias("lo"), F.col("n").alias("ln")), "leaders")
+        met = here.join(first, "key").filter((F.col("lo") < F.col("ord")) & close).select(F.col("lf").alias("a"), F.col("fp").alias("b")).distinct()
+        if done is not None:  # pairs that share several keys are compared once
+            met = met.join(done, ["a", "b"], "left_anti")
+        met = materialise(met, "pairs")
+        done = met if done is None else done.unionByName(met)
+        near = materialise(_verified(met, sets, similarity), "similar")
         out = near if out is None else out.unionByName(near)
-        # Members of large keys but the leaders and what is similar to one of them.
-        left = large.filter(F.col("ord") > F.element_at("first", -1)["ord"])
-        gone = left.join(near.select(F.col("a").alias("la"), F.col("b").alias("fp")), "fp").filter(F.col("x.fp") == F.col("la")).select("fp", "key").distinct()
-        here = materialise(left.select("fp", "ord", "n", "key").distinct().join(gone, ["fp", "key"], "left_anti"), "bands")
+        last = first.groupBy("key").agg(F.max("lo").alias("lo"), F.count(F.lit(1)).alias("m")).filter(F.col("m") == count)
+        left = here.join(last.select("key", "lo"), "key").filter(F.col("ord") > F.col("lo")).drop("lo")
+        gone = first.select("key", F.col("lf").alias("a")).join(out, "a").select("key", F.col("b").alias("fp")).distinct()
+        here = materialise(left.join(gone, ["key", "fp"], "left_anti").select("fp", "ord", "n", "key"), "bands")
         if here.isEmpty():
             return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-
-
-def _leaders(here: DataFrame) -> DataFrame:
-    """key, m (members) and first (its first LEADERS members in order)."""
-    row = F.struct("ord", "n", "fp")
-    part = here.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(64)))
-    some = part.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("m"), F.slice(F.sort_array(F.collect_list(row)), 1, LEADERS).alias("first"))
-    return some.groupBy("key").agg(F.sum("m").alias("m"), F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, LEADERS).alias("first"))
+        count *= GROWTH
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = None) -> DataFrame:
@@ -347,7 +384,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = None)
     doc_id stays only where no row of its component has one. Columns as in ``docs``.
 
     With ``similarity``, texts whose sets of ``shingle``-word shingles have at least this
-    Jaccard similarity are linked besides. Where rows repeat a document, one stays."""
+    Jaccard similarity are linked besides. Where rows repeat a document, one stays. Columns
+    of any names beyond those of documents stay."""
+    k1, k2 = free(docs, "k1__", "k2__")
     if similarity is None:
         found = _placed(materialise(fingerprints(docs), "fingerprints"))
     else:
@@ -358,8 +397,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = None)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1__", "k2__", "n__")
     first = rows.groupBy("root").agg(F.min(order).alias("x"))
     chosen = materialise(first.select("x.k1__", "x.k2__", "x.n__"), "kept")
-    here = docs.select("*", *_identity()).join(chosen, ["k1__", "k2__"], "left_semi")
+    chosen = chosen.select(F.col("k1__").alias(k1), F.col("k2__").alias(k2), "n__")
+    a, b = _identity()
+    here = docs.withColumns({k1: a, k2: b}).join(chosen, [k1, k2], "left_semi")
     # Texts are dealt out anew only where rows do repeat.
     if not chosen.filter("n__ > 1").isEmpty():
-        here = here.dropDuplicates(["k1__", "k2__"])
-    return here.select(*docs.columns)
+        here = here.dropDuplicates([k1, k2])
+    return here.select(*[here[c] for c in docs.columns])
