@@ -1,14 +1,18 @@
 """Quality rules (operator 10): robust multivariate outliers, natively in Spark SQL.
 
 Every document gets a vector of transformed statistics. For each (language, source) the
-minimum-covariance-determinant estimate of centre and scatter is found by concentration
-steps: estimate on the current half, measure Mahalanobis distances, keep the closest
-share of rows, estimate again. Documents far from the centre of their group are rejected,
-besides those that fail the base rules.
+minimum-covariance-determinant estimate of centre and scatter is sought: the H_SHARE of
+rows whose covariance (with least deviations added to its diagonal) has the smallest
+determinant. Three deterministic starts (distances from the coordinatewise medians, from
+the mean with the whole covariance, and from the mean of squashed coordinates) each take
+two concentration steps: estimate, measure Mahalanobis distances, keep the closest share.
+The start with the smallest determinant goes on until no group's determinant falls any
+more. Documents far from the centre of their group are rejected, besides those that fail
+the base rules.
 
 Scale: the texts are read once; what follows works on a thin table of one vector a
-document. Each concentration step is two aggregations with partial sums (moments, and a
-mergeable quantile sketch), so that a group with a third of all rows costs no task more
+document. Each concentration step is two aggregations with partial sums (a mergeable
+quantile sketch, and moments), so that a group with a third of all rows costs no task more
 than its share. No row is ever gathered by group.
 """
 
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, only, row_key, words
+from .common import free, let, materialise, only, row_key, words
 
 SYMBOLS = r"[#*$%&|<>]"
 # Pseudo-words added to each document, so that short texts don't look extreme by chance.
@@ -27,18 +31,24 @@ PRIOR_WORD_CHARS = 5.0
 # no symbol and no repeat at all, and their exact covariance would be singular.
 FLOORS = (0.03, 0.06, 0.06, 0.03)
 DIMS = len(FLOORS)
-# Chi-square quantile, 4 degrees of freedom, at 0.99999; and what the scatter of the
-# closest three quarters must be multiplied by to estimate that of a normal sample.
+# Chi-square quantile, 4 degrees of freedom, at 0.99999.
 CUTOFF = 28.47
 H_SHARE = 0.75
-CONSISTENCY = 1.6
-STEPS = 3
-# Groups with fewer rows are pooled by language, then all together; pools that stay
-# smaller get no verdict by distance.
-MIN_GROUP = 100
+# What the scatter of the closest share must be multiplied by to estimate that of a normal
+# sample of n rows: CONSISTENCY * (1 + SMALL / n), the second factor from simulations.
+CONSISTENCY, SMALL = 1.5, 45.0
+STARTS, START_STEPS = 3, 2
+CONVERGED = 1e-3  # a fall of the determinant's logarithm that is none; the sketches' precision
+# Groups with fewer rows that pass the base rules can't support an estimate in DIMS
+# dimensions. They are pooled by language, then all together; a last pool that is too small
+# as well is judged by the estimate over all rows.
+MIN_ROWS = 5 * DIMS
 # Up to so many groups, their estimates (under 300 bytes each) are broadcast; beyond, each
 # estimate is dealt to SALTS places and rows are dealt over them.
 FEW_GROUPS = 10_000
+# Up to so many rejected rows, their keys (under 50 bytes each) are broadcast, and texts
+# aren't shuffled to drop a few of them.
+FEW_REJECTED = 100_000
 SALTS = 16
 
 
@@ -141,61 +151,116 @@ def meet(rows: DataFrame, groups: DataFrame, on: list[str], few: bool) -> DataFr
     return rows.join(dealt, [*on, "salt"], "left").select(*rows.columns, *[c for c in groups.columns if c not in on])
 
 
-def _grouped(v: DataFrame, few_groups: int) -> tuple[DataFrame, bool]:
+def _grouped(v: DataFrame, few_groups: int) -> tuple[DataFrame, bool, bool]:
     """Adds ``grp``: language and source where enough rows pass the base rules, else the
-    language's other rows, else all the rest. Also says whether the groups are few."""
-    v = v.withColumn("lang_", F.coalesce(F.col("lang"), F.lit("\u0000"))).withColumn(
-        "source_", F.coalesce(F.col("source"), F.lit("\u0000"))
-    )
+    language's other rows, else all the rest. Also says whether the groups are few, and
+    whether the last pool is too small for an estimate of its own."""
+    none = F.lit("\u0000")
+    v = v.withColumn("lang_", F.coalesce("lang", none)).withColumn("source_", F.coalesce("source", none))
     per = v.groupBy("lang_", "source_").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
-    small = per.filter(F.col("n") < MIN_GROUP).groupBy("lang_").agg(F.sum("n").alias("n_lang"))
+    small = per.filter(F.col("n") < MIN_ROWS).groupBy("lang_").agg(F.sum("n").alias("n_lang"))
     named = per.join(small, "lang_", "left").select(
         "lang_",
         "source_",
-        F.when(F.col("n") >= MIN_GROUP, F.to_json(F.struct("lang_", "source_")))
-        .when(F.col("n_lang") >= MIN_GROUP, F.to_json(F.struct("lang_")))
-        .otherwise("{}")
+        "n",
+        F.when(F.col("n") >= MIN_ROWS, F.to_json(F.struct("lang_", "source_")))
+        .when(F.col("n_lang") >= MIN_ROWS, F.to_json(F.struct("lang_")))
+        .otherwise(REST)
         .alias("grp"),
     )
     named = materialise(named, "groups")
-    few = named.count() <= few_groups
-    return meet(v, named, ["lang_", "source_"], few), few
+    seen = named.agg(F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("grp") == REST, F.col("n"))).alias("rest")).first()
+    few = seen["groups"] <= few_groups
+    return meet(v, named.drop("n"), ["lang_", "source_"], few), few, 0 < (seen["rest"] or 0) < MIN_ROWS
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and (floored) covariance of each group as columns m_i and s_ij, one pass."""
-    x = [F.col(f"x{i}") for i in range(DIMS)]
-    aggs = [F.count(F.lit(1)).alias("n_fit")]
-    aggs += [F.avg(x[i]).alias(f"m{i}") for i in range(DIMS)]
-    aggs += [F.covar_pop(x[i], x[j]).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    return rows.groupBy("grp").agg(*aggs)
+REST = "{}"
+X = [f"x{i}" for i in range(DIMS)]
+CELLS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+FIT = ["n_fit", *[f"m{i}" for i in range(DIMS)], *[f"s{i}{j}" for i, j in CELLS]]
 
 
-def _with_distance(rows: DataFrame, fit: DataFrame, scale: float, few: bool) -> DataFrame:
-    """Squared Mahalanobis distance d2 by Cholesky elimination written out as columns.
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Number, means and covariances of each group as columns FIT, in one pass."""
+    aggs = [F.count(F.lit(1)).alias("n_fit")]
+    aggs += [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)]
+    aggs += [F.covar_pop(X[i], X[j]).alias(f"s{i}{j}") for i, j in CELLS]
+    return rows.groupBy(*by).agg(*aggs)
 
-    The factor is found per group, on the small side; a row only does the forward
-    substitution."""
+
+def _factored(fit: DataFrame, scale: Column | None = None) -> DataFrame:
+    """Adds the Cholesky factor l_ij of each group's scatter (times ``scale``, floors added
+    to its diagonal) and log_det, the logarithm of its determinant."""
     chol: dict[tuple[int, int], str] = {}
-    for i in range(DIMS):
-        for j in range(i + 1):
-            cell = F.col(f"s{i}{j}") * F.lit(scale)
-            if i == j:
-                cell = cell + F.lit(FLOORS[i] ** 2)
-            for k in range(j):
-                cell = cell - F.col(chol[i, k]) * F.col(chol[j, k])
-            name = f"l{i}{j}"
-            fit = fit.withColumn(name, F.sqrt(F.greatest(cell, F.lit(1e-12))) if i == j else cell / F.col(chol[j, j]))
-            chol[i, j] = name
-    fit = fit.select("grp", "n_fit", *[f"m{i}" for i in range(DIMS)], *chol.values())
-    out = meet(rows, fit, ["grp"], few)
+    for i, j in CELLS:
+        cell = F.col(f"s{i}{j}") if scale is None else F.col(f"s{i}{j}") * scale
+        if i == j:
+            cell = cell + F.lit(FLOORS[i] ** 2)
+        for k in range(j):
+            cell = cell - F.col(chol[i, k]) * F.col(chol[j, k])
+        name = f"l{i}{j}"
+        fit = fit.withColumn(name, F.sqrt(F.greatest(cell, F.lit(1e-12))) if i == j else cell / F.col(chol[j, j]))
+        chol[i, j] = name
+    return fit.withColumn("log_det", sum((2 * F.log(F.col(chol[i, i])) for i in range(1, DIMS)), 2 * F.log(F.col(chol[0, 0]))))
+
+
+def _with_distance(rows: DataFrame, factored: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance: forward substitution, column by column."""
+    factor = [f"l{i}{j}" for i, j in CELLS]
+    out = meet(rows, factored.select(*on, *[f"m{i}" for i in range(DIMS)], *factor), on, few)
     for i in range(DIMS):
         z = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
             z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMS)), F.col("z0") * F.col("z0"))
-    return out.withColumn("d2", d2).select(*rows.columns, "n_fit", "d2")
+    return out.withColumn("d2", d2).select(*rows.columns, "d2")
+
+
+def _concentrated(rows: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """One step: the estimate of each group's closest H_SHARE of ``rows`` (which have d2),
+    ties at the edge all taken in. The quantile is exact up to 1000 rows a group."""
+    edge = rows.groupBy(*by).agg(F.percentile_approx("d2", H_SHARE, 1000).alias("edge"))
+    half = meet(rows, edge, by, few).filter(F.col("d2") <= F.col("edge"))
+    return materialise(_factored(_moments(half, by)), "mcd")
+
+
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """``rows`` STARTS times over, with the number of the start and its distances d2."""
+    centre = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"c{i}") for i, x in enumerate(X)])
+    centred = meet(rows, materialise(centre, "medians"), ["grp"], few)
+    scaled = [(F.col(x) - F.col(f"c{i}")) / F.lit(FLOORS[i]) for i, x in enumerate(X)]
+    near = sum((z * z for z in scaled[1:]), scaled[0] * scaled[0])
+    squashed = [F.tanh(z / 2) * F.lit(2 * FLOORS[i]) for i, z in enumerate(scaled)]
+    first = centred.select(*rows.columns, near.alias("d2"), F.lit(0).alias("start"))
+    flat = centred.select("grp", "salt", *X, F.struct(*[z.alias(x) for x, z in zip(X, squashed)]).alias("y"))
+    kinds = F.array(F.struct(F.lit(1).alias("start"), F.struct(*X).alias("v")), F.struct(F.lit(2).alias("start"), F.col("y").alias("v")))
+    both = flat.select("grp", "salt", F.struct(*X).alias("x"), F.explode(kinds).alias("k")).select("grp", "salt", "x", "k.start", "k.v.*")
+    fit = materialise(_factored(_moments(both, ["grp", "start"])), "starts")
+    rest = _with_distance(both, fit, ["grp", "start"], few).select("grp", "salt", "x.*", "d2", "start")
+    return materialise(first.select(rest.columns).unionByName(rest), "starts")
+
+
+def estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """grp, FIT, the factor and log_det: the scatter of smallest determinant found for each
+    group of ``rows`` (grp, salt and X)."""
+    by = ["grp", "start"]
+    fit = _concentrated(_starts(rows, few), by, few)
+    all_starts = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    for _ in range(START_STEPS - 1):
+        fit = _concentrated(_with_distance(all_starts, fit, by, few), by, few)
+    state = [c for c in fit.columns if c not in by]
+    best = fit.groupBy("grp").agg(F.min_by(F.struct(*state), F.struct("log_det", "start")).alias("x")).select("grp", "x.*")
+    best = materialise(best, "mcd")
+    falls = True
+    while falls:  # determinants only fall, each time by CONVERGED somewhere: it ends
+        step = _concentrated(_with_distance(rows, best, ["grp"], few), ["grp"], few)
+        old = best.select("grp", F.struct(*state).alias("old"))
+        both = step.select("grp", F.struct(*state).alias("new")).join(old, "grp")
+        better = F.col("new.log_det") < F.col("old.log_det") - CONVERGED
+        both = materialise(both.select("grp", F.when(better, F.col("new")).otherwise(F.col("old")).alias("x"), better.alias("better")), "mcd")
+        best, falls = both.select("grp", "x.*"), not both.filter("better").isEmpty()
+    return best
 
 
 def quality_verdicts(docs: DataFrame, few_groups: int = FEW_GROUPS) -> DataFrame:
@@ -204,28 +269,20 @@ def quality_verdicts(docs: DataFrame, few_groups: int = FEW_GROUPS) -> DataFrame
     One row for each row of ``docs``. Null text counts as empty and so fails the base
     rules; null languages and sources form groups of their own; repeated rows count each
     and get the same verdict; ties at the edge of the half are all taken in. An empty
-    table gives an empty table. Pools smaller than MIN_GROUP keep whatever passes the
-    base rules (d2 null)."""
+    table gives an empty table. Where fewer than MIN_ROWS rows of the whole table pass the
+    base rules there is no estimate, d2 is null and these rules decide alone. Extra columns
+    are left behind."""
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     stats = materialise(statistics(docs).withColumn("salt", salt), "statistics")
-    v, few = _grouped(vectors(stats), few_groups)
+    v, few, widen = _grouped(vectors(stats), few_groups)
     v = materialise(v, "quality")
-    fit_on = v.filter(~F.col("base_failed")).select("grp", "salt", *[f"x{i}" for i in range(DIMS)])
-
-    # Start: coordinatewise medians and absolute deviations, by mergeable sketches.
-    med = fit_on.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"c{i}") for i in range(DIMS)])
-    start = meet(fit_on, materialise(med, "medians"), ["grp"], few)
-    dist = sum((F.pow((F.col(f"x{i}") - F.col(f"c{i}")) / F.lit(FLOORS[i]), 2) for i in range(1, DIMS)), F.pow((F.col("x0") - F.col("c0")) / F.lit(FLOORS[0]), 2))
-    rows = start.withColumn("d2", dist).select("grp", "salt", *[f"x{i}" for i in range(DIMS)], "d2")
-    fit = None
-    for _ in range(STEPS):
-        edge = rows.groupBy("grp").agg(F.percentile_approx("d2", H_SHARE, 1000).alias("edge"))
-        half = meet(rows, materialise(edge, "edges"), ["grp"], few).filter(F.col("d2") <= F.col("edge"))
-        fit = materialise(_moments(half), "mcd")
-        rows = _with_distance(fit_on, fit, 1.0, few).drop("n_fit")
-    out = _with_distance(v, fit, CONSISTENCY, few)
-    judged = F.coalesce(F.col("n_fit"), F.lit(0)) >= int(MIN_GROUP * H_SHARE)
-    d2 = F.when(judged, F.col("d2"))
+    rows = v.filter(~F.col("base_failed")).select("grp", "salt", *X)
+    if widen:
+        rows = rows.unionByName(rows.filter(F.col("grp") != REST).withColumn("grp", F.lit(REST)))
+    fit = estimates(rows, few)
+    n = F.col("n_fit") / H_SHARE
+    fit = materialise(_factored(fit.select("grp", *FIT).filter(n >= MIN_ROWS - 1), F.lit(CONSISTENCY) * (1 + SMALL / n)), "estimates")
+    out = _with_distance(v, fit, ["grp"], few)
     return out.select(
         "doc_id",
         "lang",
@@ -236,9 +293,9 @@ def quality_verdicts(docs: DataFrame, few_groups: int = FEW_GROUPS) -> DataFrame
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        d2.alias("d2"),
+        "d2",
         "base_failed",
-        (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= CUTOFF)).alias("kept"),
+        (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).alias("kept"),
     )
 
 
@@ -246,6 +303,9 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
     The verdicts, not the texts, are joined back, and of those only the rejections."""
-    bad = quality_verdicts(docs).filter(~F.col("kept")).select(F.col("row_key").alias("key__")).distinct()
-    here = docs.select("*", row_key().alias("key__"))
-    return here.join(bad, "key__", "left_anti").select(*docs.columns)
+    (key,) = free(docs, "key__")
+    bad = materialise(quality_verdicts(docs).filter(~F.col("kept")).select(F.col("row_key").alias(key)).distinct(), "rejected")
+    if bad.count() <= FEW_REJECTED:
+        bad = F.broadcast(bad)
+    here = docs.withColumn(key, row_key())
+    return here.join(bad, key, "left_anti").select(*[here[c] for c in docs.columns])
