@@ -17,7 +17,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(read(spark, sf_dir, "documents"))
-    p = F.round("p__", 6).alias("p")
+    p = F.round("p__", 5).alias("p")
     return found.select("doc_id", "source", "lang", F.col("topic__").alias("topic"), p, F.col("kept__").alias("kept"))
 
 
