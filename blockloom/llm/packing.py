@@ -31,6 +31,7 @@ from .vocab import VOCAB, encoder
 
 WINDOW = 4096
 LANE_TOKENS = 1 << 19
+PARTITION_LANES = 16  # lanes dealt to one task, of about 1 MB each
 MIN_PIECE = 256  # a source isn't cut shorter than this while another has credit to serve
 GRAIN = 256  # documents are cut at lane edges in pieces of about so many tokens of a source
 FEW_TOTALS = 100_000  # totals up to so many rows are broadcast
@@ -224,4 +225,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocab: str =
     made = materialise(tokenise(docs, vocab), "tokens")
     total = made.agg(F.sum("n")).first()[0] or 0
     lanes = max(1, -(-total // LANE_TOKENS))
-    return dealt(made, targets, lanes).groupBy("lane").applyInArrow(pack_lane, SCHEMA)
+    rows = dealt(made, targets, lanes)
+    # As many partitions as lanes need, whatever the session's default: none holds over
+    # PARTITION_LANES lanes but by the chance of a hash.
+    return rows.repartition(max(1, -(-lanes // PARTITION_LANES)), "lane").groupBy("lane").applyInArrow(pack_lane, SCHEMA)

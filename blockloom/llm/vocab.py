@@ -14,11 +14,13 @@ from .common import single_thread
 VOCAB = "word_bpe_49k.json"
 END_ID = 2
 CACHE_WORDS = 250_000
+CACHE_KEY = 64  # longer words aren't kept, so that the cache is bounded in bytes as well
 
 
 class Cache(dict):
     """A dict that fills itself with ``make(key)``. When full, its content becomes the
-    older generation, from which keys in use come back; memory stays bounded."""
+    older generation, from which keys in use come back. Keys of over CACHE_KEY characters
+    are made anew each time, so memory is bounded by 2 * limit short keys."""
 
     def __init__(self, make, limit: int = CACHE_WORDS):
         super().__init__()
@@ -28,6 +30,8 @@ class Cache(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+            if len(key) > CACHE_KEY:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
