@@ -48,7 +48,7 @@ GROUPS = 6  # of search coordinates; linked pairs agree on GROUPS - RADIUS of th
 DENSE = 200  # different fingerprints that share a key, beyond which pairs aren't formed
 MASK = (1 << 64) - 1
 BANDS, BAND_ROWS = 64, 8
-LEADERS = 16  # members of a band key that its others are compared with in the first round
+LEADERS = 1  # members of a band key that its others are compared with in the first round
 GROWTH = 4  # times as many in each later one
 
 
@@ -324,7 +324,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         for x in batches:
             good = []
             for g, h in zip(x.column("g").to_pylist(), x.column("h").to_pylist()):
-                g, h = np.frombuffer(g, "<u8"), np.frombuffer(h, "<u8")
+                g, h = np.frombuffer(g, "<u4"), np.frombuffer(h, "<u4")
                 both = len(np.intersect1d(g, h, assume_unique=True))
                 good.append(both >= similarity * (len(g) + len(h) - both) - 1e-9)
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -338,11 +338,11 @@ def similar(docs: DataFrame, best: DataFrame, size: int, similarity: float) -> D
     """Pairs a, b of fingerprints whose first rows (``best``) are similar.
 
     Members of a key aren't all compared with each other but, in rounds, with its first
-    rows by the order in which rows are chosen; what is similar to one of them leaves the
-    key, as do these. Each round takes GROWTH times as many of them, so rounds are few
-    however large a key. A row that is chosen in the end is similar to no row before it, so
-    it is compared with every other such row: no two chosen rows that share a key are
-    similar."""
+    rows by the order in which rows are chosen, which then leave it. What is similar to one
+    of these will not be chosen and leaves all keys. Each round takes GROWTH times as many
+    first rows, so rounds are few however large a key. A row that is chosen in the end is
+    similar to no row before it, so it stays until it has been compared with every later
+    such row: no two chosen rows that share a key are similar."""
     rows = best.select("fp", "ord", "n", F.explode("bands").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
     here = materialise(rows.join(counts, "key"), "bands")
@@ -350,8 +350,13 @@ def similar(docs: DataFrame, best: DataFrame, size: int, similarity: float) -> D
     texts = only(docs, doc_id="doc_id", text="text").select("text", *_identity())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for x in batches:
-            grams = pa.array([shingles(t, size).tobytes() for t in x.column("text").to_pylist()], pa.binary())
+            # 32 bits of each hash: half as much to ship, and equal by chance for one pair
+            # of shingles in four billion.
+            high = [np.unique((shingles(t, size) >> np.uint64(32)).astype("<u4")) for t in x.column("text").to_pylist()]
+            grams = pa.array([h.tobytes() for h in high], pa.binary())
             yield pa.RecordBatch.from_arrays([x.column("fp"), grams], ["fp", "grams"])
 
     found = texts.join(members, ["k1__", "k2__"]).select("fp", "text").mapInArrow(run, "fp long, grams binary")
@@ -372,8 +377,8 @@ def similar(docs: DataFrame, best: DataFrame, size: int, similarity: float) -> D
         out = near if out is None else out.unionByName(near)
         last = first.groupBy("key").agg(F.max("lo").alias("lo"), F.count(F.lit(1)).alias("m")).filter(F.col("m") == count)
         left = here.join(last.select("key", "lo"), "key").filter(F.col("ord") > F.col("lo")).drop("lo")
-        gone = first.select("key", F.col("lf").alias("a")).join(out, "a").select("key", F.col("b").alias("fp")).distinct()
-        here = materialise(left.join(gone, ["key", "fp"], "left_anti").select("fp", "ord", "n", "key"), "bands")
+        gone = near.select(F.col("b").alias("fp")).distinct()
+        here = materialise(left.join(gone, "fp", "left_anti").select("fp", "ord", "n", "key"), "bands")
         if here.isEmpty():
             return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
         count *= GROWTH
