@@ -65,13 +65,18 @@ class MarginsDisagree(ValueError):
     """Targets that no probabilities meet; the message names one that is missed."""
 
 
+def _raking(cells: DataFrame) -> list[str]:
+    """The margins that have targets."""
+    return [m for m in MARGINS if f"t_{m}" in cells.columns]
+
+
 def _raked(cells: DataFrame, few: bool) -> DataFrame:
     """BATCH rounds of raking of ``cells`` (margins, n, p and for each margin t_<margin>)."""
     if few:
         # In one partition, windows need no exchange.
         cells = cells.coalesce(1)
     for _ in range(BATCH):
-        for m in MARGINS:
+        for m in _raking(cells):
             if few:
                 cells = cells.withColumn("had", F.sum(F.col("p") * F.col("n")).over(Window.partitionBy(m)))
             else:
@@ -88,7 +93,7 @@ def margins(cells: DataFrame) -> DataFrame:
     """margin, value, target, expected (tokens) and gap, their difference as a share of the
     target: the report on probabilities p."""
     out = None
-    for m in MARGINS:
+    for m in _raking(cells):
         one = cells.groupBy(m).agg(F.first(f"t_{m}").alias("target"), F.sum(F.col("p") * F.col("n")).alias("expected"))
         one = one.select(F.lit(m).alias("margin"), F.col(m).alias("value"), "target", "expected")
         out = one if out is None else out.unionByName(one)
@@ -133,7 +138,7 @@ def targets_of(cells: DataFrame, margin: str, keep: float, temper: float, shares
 def _fitted(cells: DataFrame, keep: float, temper: float, targets: Mapping[str, Mapping[str, float]], few: bool) -> DataFrame:
     """``cells`` with p and t_<margin>, raked until the margins agree."""
     now = cells.withColumn("p", F.lit(keep))
-    for m in MARGINS:
+    for m in targets or MARGINS:
         now = now.join(targets_of(cells, m, keep, temper, targets.get(m)), m)
     now = materialise(now, "cells")
     gap = 1.0
@@ -169,8 +174,8 @@ def probabilities(
 ) -> DataFrame:
     """source, lang, topic, n (tokens), p and the wanted tokens by margin, for each cell.
 
-    ``targets``: for each margin, shares of its values; values left out get none. Raises
-    MarginsDisagree where they can't be met together."""
+    ``targets``: for each margin, shares of its values; values left out get none, margins
+    left out are free. Raises MarginsDisagree where they can't be met together."""
     targets = dict(targets or {})
     if unknown := set(targets) - set(MARGINS):
         raise ValueError(f"unknown margins {sorted(unknown)}")
@@ -198,7 +203,7 @@ def mix(
     column of one of these names, it comes with another underscore.
 
     ``targets``: for each margin (source, lang, topic) the shares of its values; margins
-    without any follow their tempered natural shares. ``keep``: the share of all tokens that
+    left out are free. Without any, all three follow their tempered natural shares. ``keep``: the share of all tokens that
     stays. ``topics``: a column with the topic, by its name or as an expression.
 
     A null source, language or topic is a value of its own, ``(none)``; null text weighs one

@@ -266,7 +266,7 @@ def brute_pieces(word, first, later):
 
 def test_token_counts_equal_greedy_matching(docs):
     first, later = tokencount.pieces()
-    for r in tokencount.count_tokens(docs.filter("doc_id <> 206")).collect():
+    for r in tokencount.count_tokens(docs).collect():
         text = next(t[1] for t in table() if t[0] == r.doc_id) or ""
         words = text.encode().split()
         assert (r.n_words, r.n_tokens) == (len(words), sum(brute_pieces(w, first, later) for w in words))
@@ -275,20 +275,6 @@ def test_token_counts_equal_greedy_matching(docs):
         assert a.count(w) == brute_pieces(w, {b"a", b"abc", b"b", b"c"}, {b"a", b"b", b"c", b"bc", b"bca"})
 
 
-@pytest.mark.parametrize("few", [0, 20_000])
-def test_mixing_meets_margins(docs, few):
-    got = mixing.probabilities(docs, rounds=30, few_cells=few).collect()
-    assert all(0 < r.p <= 1 for r in got)
-    want = collections.defaultdict(float)
-    for r in got:
-        want[r.lang] += r.p * r.n
-    for r in got:  # the last margin raked is met exactly, where nothing is held at 1
-        assert want[r.lang] <= r.t_lang * 1.25 + 1
-    rows = mixing.mix(docs).collect()
-    assert len(rows) == len(table())
-    assert mixing.mix(docs.filter("doc_id < -1")).count() == 0
-
-
 def brute_statistics(text):
     w = WORDS.findall(text or "")
     seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -343,12 +329,12 @@ def test_quality_is_the_same_for_few_and_many_groups(docs):
     assert verdicts(0) == verdicts(quality.FEW_GROUPS)
 
 
-@pytest.mark.parametrize("few", [2, 16])
-def test_simhash_keeps_one_of_planted_edits(spark, monkeypatch, few):
+@pytest.mark.parametrize("leaders", [1, 16])
+def test_simhash_keeps_one_of_planted_edits(spark, monkeypatch, leaders):
     """No two kept texts have 0.8 of their five-word shingles in common; each one dropped is linked to another."""
     import random
 
-    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
     rng, rows = random.Random(5), []
     for k in range(8):
         base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
