@@ -72,6 +72,3 @@ def combine_crc(parts: DataFrame, keys: list[str], order: list[str], crc: str =
         .agg(F.bit_xor("s__").alias("crc32"), F.sum("n__").alias("total"), F.count(F.lit(1)).alias("parts"))
     )
 
-
-def crc32(data: Column) -> Column:
-    return F.crc32(data)

@@ -22,13 +22,12 @@ DEFAULT_BLOCK = 128 << 10
 MAX_BLOCK = 256 << 20
 PROBE_WINDOW = 1 << 20
 COALESCE_TARGET = 128 << 10
-HEADER_BUFFER_MAX = 1 << 20
+HEADER_BUFFER_MAX = 1 << 20  # members with longer headers are decoded as streams
 SPAN_MIN, SPAN_MAX = 4096, 16 << 20
 STREAM_SYNC_SPAN = 4096
 PATH_MAX = 4096
 SUFFIX = ".gz"
 
-# Outcomes, from best to worst, with the exit status of each.
+# Outcomes, from best to worst.
 OK, WARNING, ERROR = "ok", "warning", "error"
-EXIT_STATUS = {OK: 0, ERROR: 1, WARNING: 2}
 U32 = 0xFFFFFFFF

@@ -9,9 +9,6 @@ import functools
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import fixed
 
 REACH = 32  # bytes that a 32-bit hash remembers
@@ -46,14 +43,6 @@ def span_mask(span: int, least: int = fixed.SPAN_MIN) -> int:
     return (1 << (min(max(span, least), fixed.SPAN_MAX) - 1).bit_length()) - 1
 
 
-def span_mask_column(span: Column, least: int = fixed.SPAN_MIN) -> Column:
-    """span_mask in Catalyst. Spans end at 2**24, where log2 of a double is exact enough to
-    be set right by one comparison."""
-    s = F.greatest(F.lit(least), F.least(F.lit(fixed.SPAN_MAX), span)).cast("long")
-    bits = F.ceil(F.log2(s.cast("double")) - F.lit(1e-9)).cast("int")
-    return F.shiftleft(F.lit(1).cast("long"), bits) - 1
-
-
 def hits(data: bytes, mask: int) -> np.ndarray:
     """Positions whose hash is zero under the mask."""
     return np.flatnonzero((gear_hashes(data) & np.uint32(mask)) == 0)

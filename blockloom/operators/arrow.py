@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS = 256  # rows taken from a batch at once: payloads are large, batches are cut
@@ -51,6 +53,12 @@ def map_value(df: DataFrame, column: str, make: Callable[[dict], list[dict]], sc
 OUT = 32 << 20
 
 
+@F.pandas_udf(T.BinaryType())
+def join_bytes(parts: pd.Series) -> pd.Series:
+    """The elements of each array of binaries, one after the other."""
+    return parts.map(lambda p: b"".join(p) if p is not None else None)
+
+
 def binary(df: DataFrame, column: str) -> DataFrame:
     """The payload as binary (strings become UTF-8)."""
     return df.withColumn(column, df[column].cast("binary"))

@@ -17,13 +17,6 @@ BGZF_PAYLOAD = 0xFF00
 
 # How a segment ended.
 FULL, END, SHORT, OVERFLOW, ERROR = "FULL", "END", "SHORT", "OVERFLOW", "ERROR"
-STATUS_TEXT = {
-    FULL: "complete",
-    END: "end of stream",
-    SHORT: "truncated",
-    OVERFLOW: "larger than the block size",
-    ERROR: "corrupt",
-}
 # Error codes as zlib names them.
 DATA_ERROR, BUF_ERROR = "Z_DATA_ERROR", "Z_BUF_ERROR"
 
@@ -126,11 +119,6 @@ def _sized_members(data: bytes, s: Settings, mtime: int, name: bytes | None) ->
 # -- planning -------------------------------------------------------------------------
 
 
-def marker_offset(data: bytes, start: int = 0) -> int:
-    """First marker at or after ``start``, -1 if none."""
-    return data.find(fixed.MARKER, start)
-
-
 def pair_ends(data: bytes, start: int) -> Iterator[int]:
     """Ends of marker pairs, each with all empty blocks that follow it."""
     at = data.find(fixed.MARKER_PAIR, start)
@@ -172,7 +160,7 @@ def cut_segments(data: bytes, start: int, target: int = fixed.COALESCE_TARGET) -
 
 def layout_of(data: bytes, header: Header | None, at: int = 0) -> str:
     """How the member at ``at`` is best decoded: sized, blocks or stream."""
-    if header is None:
+    if header is None or header.length > fixed.HEADER_BUFFER_MAX:
         return "stream"
     if header.member_size and header.member_size >= header.length + fixed.TRAILER_LEN:
         return "sized" if at + header.member_size <= len(data) else "stream"
@@ -268,6 +256,7 @@ class Decoded:
     message: str | None = None
     used: int = 0
     layout: str = "stream"
+    size: int = 0  # decoded bytes, kept or not
 
     @property
     def data(self) -> bytes:
@@ -289,7 +278,7 @@ def decode(data: bytes, keep: bool = True) -> Decoded:
     while pos < len(data):
         if not data.startswith(fixed.MAGIC, pos):
             if not out.members:
-                out.layout = "passthru"
+                out.layout, out.size = "passthru", len(data)
                 if keep:
                     out.parts.append(data)
             break
@@ -313,6 +302,7 @@ def decode(data: bytes, keep: bool = True) -> Decoded:
             except zlib.error:
                 return fail(DATA_ERROR, "corrupt deflate data")
             crc, size = zlib.crc32(part, crc), size + len(part)
+            out.size += len(part)
             if keep:
                 out.parts.append(part)
         at -= len(z.unused_data)

@@ -16,30 +16,39 @@ from ..functions.checksum import crc32_shift
 from ..functions.gzip_format import NotGzip, parse_header
 from ..storage import materialise
 from . import codec
-from .arrow import binary, map_value
+from .arrow import binary, join_bytes, map_value
 
 VERDICT = "status string, err_code string, message string"
 
 
-def decode(df: DataFrame, packed: str = "packed", out: str = "data", payload: bool = True) -> DataFrame:
+OUTCOME = ("members", "layout", "total_in", "total_out", "status", "err_code", "message")
+
+
+def decode(df: DataFrame, packed: str = "packed", out: str = "data", payload: bool = True, strict: bool = False) -> DataFrame:
     """``df`` with ``packed`` replaced by the decoded ``out`` and members, layout,
     total_in, total_out, status, err_code and message.
 
     What isn't gzip passes unchanged, garbage after a member is ignored, damaged values
     give what was good before the damage. Without ``payload`` only the verdict is kept
-    (the test mode): nothing but counts leaves the task. Null is null with status ok."""
-    keep = [c for c in df.columns if c != packed]
+    (the test mode): decoded bytes are counted and dropped as they come, whatever their
+    number. With ``strict`` what isn't gzip, null included, is an error, found by its first
+    two bytes; else null is null with status ok. Columns of ``df`` that are named like one
+    of these are replaced."""
+    keep = [c for c in df.columns if c not in (packed, out, *OUTCOME)]
 
     def make(row: dict) -> list[dict]:
         raw = row[packed]
+        if strict and not (raw or b"").startswith(fixed.MAGIC):
+            bad = {"status": fixed.ERROR, "err_code": codec.DATA_ERROR, "message": "not in gzip format"}
+            return [{"members": 0, "total_in": len(raw or b""), "total_out": 0, **bad}]
         if raw is None:
             return [{out: None, "members": 0, "total_in": 0, "total_out": 0, "status": fixed.OK}]
-        d = codec.decode(raw)
+        d = codec.decode(raw, payload)
         made = {
             "members": d.members,
             "layout": d.layout,
             "total_in": len(raw),
-            "total_out": sum(map(len, d.parts)),
+            "total_out": d.size,
             "status": fixed.OK if d.code is None else fixed.ERROR,
             "err_code": d.code,
             "message": d.message,
@@ -58,12 +67,12 @@ def plan(df: DataFrame, key: str, packed: str = "packed", target: int = fixed.CO
     Sized members are cut exactly and grouped to ``target`` bytes; block members are cut at
     marker pairs, to the end of the value (what follows the first member is cut the same
     way and told apart later); anything else is one segment. Without ``parallel`` every
-    gzip value is one segment."""
+    gzip value is one segment. A null value is one empty segment of layout none."""
 
     def make(row: dict) -> list[dict]:
         raw = row[packed]
         if raw is None:
-            return []
+            return [{"seg_idx": 0, "layout": "none", "offset": 0, "length": 0, "is_last": True, "payload": b""}]
         cuts, layout = _segments(raw, target, parallel)
         return [
             {"seg_idx": i, "layout": kind, "offset": a, "length": n, "is_last": i + 1 == len(cuts), "payload": raw[a : a + n]}
@@ -106,7 +115,7 @@ def _segments(raw: bytes, target: int, parallel: bool) -> tuple[list[tuple[int,
     return out, "stream"
 
 
-def inflate_segments(segments: DataFrame, key: str) -> DataFrame:
+def inflate_segments(segments: DataFrame, key: str, limit: int = fixed.MAX_BLOCK) -> DataFrame:
     """Each segment's pieces: key, seg_idx, piece_idx, layout, offset, length, is_last,
     status, in_used, done, ended, want_crc, want_size, out_len, crc32, err_code, message,
     payload (decoded)."""
@@ -115,7 +124,7 @@ def inflate_segments(segments: DataFrame, key: str) -> DataFrame:
     def make(row: dict) -> list[dict]:
         raw = row["payload"]
         if row["layout"] == "blocks":
-            s = codec.inflate_segment(raw, row["is_last"])
+            s = codec.inflate_segment(raw, row["is_last"], limit)
             pieces = s.pieces or [codec.Piece(b"", 0)]
             return [
                 {
@@ -165,43 +174,63 @@ def _islands(status: DataFrame, key: str) -> DataFrame:
     return status.withColumn("island", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def decode_blocks(df: DataFrame, key: str, packed: str = "packed", target: int = fixed.COALESCE_TARGET, parallel: bool = True, spread: int | None = None, rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+def decode_blocks(
+    df: DataFrame,
+    key: str,
+    packed: str = "packed",
+    target: int = fixed.COALESCE_TARGET,
+    parallel: bool = True,
+    spread: int | None = None,
+    limit: int = fixed.MAX_BLOCK,
+) -> tuple[DataFrame, DataFrame]:
     """(blocks, verdicts) of the values of ``df``, each decoded in parallel segments.
 
     blocks: key, member_idx, block_idx, raw_offset, raw_len, crc32, payload, in order of
     member_idx and block_idx. verdicts: key, members, total, status, err_code, message.
-    Keys must be unique. ``spread`` is the number of partitions that segments are dealt to.
+    Keys must be unique; one may be null. A null value has a verdict and no block.
+    ``spread`` is the number of partitions that segments are dealt to.
 
     False boundaries (marker bytes inside data) show as segments that end inside a block;
-    they are merged with what follows and inflated again until nothing merges. Only merged
-    segments are inflated again."""
-    cut = plan(df, key, packed, target, parallel)
-    cut = cut.repartition(spread, key, "seg_idx") if spread else cut
+    they are merged with what follows and inflated again until nothing merges, which ends
+    as there are fewer segments each time. Only merged segments are inflated again. A value
+    with a segment that holds more than ``limit`` bytes is decoded as one stream instead."""
+    # Within a struct, null equals null.
+    k = "key__"
+    named = df.select(F.struct(F.col(key).alias("of")).alias(k), F.col(packed).alias(packed))
+    cut = plan(named, k, packed, target, parallel)
+    cut = cut.repartition(spread, k, "seg_idx") if spread else cut
     cut = materialise(cut, "segments")
-    pieces = materialise(inflate_segments(cut, key), "pieces")
-    for _ in range(rounds):
-        heads = pieces.filter("piece_idx = 0").select(key, "seg_idx", "layout", "status", "is_last")
-        merged = materialise(_islands(heads, key), "islands")
-        grown = merged.groupBy(key, "island").agg(F.count(F.lit(1)).alias("n"), F.min("seg_idx").alias("first")).filter("n > 1")
+    pieces = materialise(inflate_segments(cut, k, limit), "pieces")
+    while True:
+        heads = pieces.filter("piece_idx = 0").select(k, "seg_idx", "layout", "status", "is_last")
+        merged = materialise(_islands(heads, k), "islands")
+        grown = merged.groupBy(k, "island").agg(F.count(F.lit(1)).alias("n"), F.min("seg_idx").alias("first")).filter("n > 1")
         if grown.isEmpty():
             break
-        of = merged.join(grown, [key, "island"]).select(key, "seg_idx", "first")
+        of = merged.join(grown, [k, "island"]).select(k, "seg_idx", "first")
+        parts = F.sort_array(F.collect_list(F.struct("seg_idx", "payload")))["payload"]
         joined = (
-            cut.join(of, [key, "seg_idx"])
-            .groupBy(key, F.col("first").alias("seg_idx"))
+            cut.join(of, [k, "seg_idx"])
+            .groupBy(k, F.col("first").alias("seg_idx"))
             .agg(
                 F.first("layout").alias("layout"),
                 F.min("offset").alias("offset"),
                 F.sum("length").alias("length"),
                 F.max("is_last").alias("is_last"),
-                F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "payload"))), lambda p: F.hex(p["payload"])), "")).alias("payload"),
+                parts.alias("parts"),
             )
+            .withColumn("payload", join_bytes("parts"))
         )
         joined = materialise(joined.select(cut.columns), "merged")
-        cut = materialise(cut.join(of, [key, "seg_idx"], "left_anti").select(cut.columns).unionByName(joined), "segments")
-        again = inflate_segments(joined, key)
-        pieces = materialise(pieces.join(of, [key, "seg_idx"], "left_anti").select(pieces.columns).unionByName(again.select(pieces.columns)), "pieces")
-    return _settle(pieces, key)
+        cut = materialise(cut.join(of, [k, "seg_idx"], "left_anti").select(cut.columns).unionByName(joined), "segments")
+        again = inflate_segments(joined, k, limit)
+        pieces = materialise(pieces.join(of, [k, "seg_idx"], "left_anti").select(pieces.columns).unionByName(again.select(pieces.columns)), "pieces")
+    large = pieces.filter(F.col("status") == codec.OVERFLOW).select(k).distinct()
+    if not large.isEmpty():
+        whole = inflate_segments(plan(named.join(large, k, "left_semi"), k, packed, target, False), k)
+        pieces = materialise(pieces.join(large, k, "left_anti").select(pieces.columns).unionByName(whole.select(pieces.columns)), "pieces")
+    blocks, seen = _settle(pieces, k)
+    return tuple(x.select(F.col(f"{k}.of").alias(key), *[c for c in x.columns if c != k]) for x in (blocks, seen))
 
 
 def _settle(pieces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -232,12 +261,10 @@ def _settle(pieces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
             F.max("want_size").alias("want_size"),
             F.max("ended").alias("ended"),
             F.max(F.col("status") == codec.ERROR).alias("corrupt"),
-            F.max(F.col("status") == codec.OVERFLOW).alias("large"),
         )
     )
     err = (
         F.when(F.col("corrupt"), F.struct(F.lit(codec.DATA_ERROR).alias("err_code"), F.lit("corrupt deflate data").alias("message")))
-        .when(F.col("large"), F.struct(F.lit(codec.DATA_ERROR).alias("err_code"), F.lit("larger than the largest block").alias("message")))
         .when(~F.col("ended"), F.struct(F.lit(codec.BUF_ERROR).alias("err_code"), F.lit("unexpected end of file").alias("message")))
         .when(F.col("crc") != F.col("want_crc"), F.struct(F.lit(codec.DATA_ERROR).alias("err_code"), F.lit("crc mismatch").alias("message")))
         .when(F.col("size").bitwiseAND(F.lit(fixed.U32)) != F.col("want_size"), F.struct(F.lit(codec.DATA_ERROR).alias("err_code"), F.lit("length mismatch").alias("message")))
@@ -254,7 +281,7 @@ def _settle(pieces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         F.col("e.err_code").alias("err_code"),
         F.col("e.message").alias("message"),
     )
-    blocks = meta.select(key, "seg_idx", "piece_idx", "member_idx", "block_idx", "raw_offset").join(
+    blocks = meta.filter("layout <> 'none'").select(key, "seg_idx", "piece_idx", "member_idx", "block_idx", "raw_offset").join(
         pieces.select(key, "seg_idx", "piece_idx", F.col("out_len").alias("raw_len"), "crc32", F.col("decoded").alias("payload")),
         [key, "seg_idx", "piece_idx"],
     )
@@ -263,5 +290,5 @@ def _settle(pieces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 def concat_blocks(blocks: DataFrame, key: str, out: str = "data") -> DataFrame:
     """key and the whole decoded value, from its blocks in order."""
-    parts = F.sort_array(F.collect_list(F.struct("raw_offset", "member_idx", "block_idx", "payload")))
-    return blocks.groupBy(key).agg(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["payload"])), "")).alias(out))
+    parts = F.sort_array(F.collect_list(F.struct("raw_offset", "member_idx", "block_idx", "payload")))["payload"]
+    return blocks.groupBy(key).agg(parts.alias("parts__")).select(key, join_bytes("parts__").alias(out))

@@ -12,7 +12,7 @@ from ..functions.checksum import combine_crc
 from ..functions.gear import hits, span_mask
 from ..functions.gzip_format import header_column, trailer_column
 from . import codec
-from .arrow import binary, map_value
+from .arrow import binary, join_bytes, map_value
 from .codec import Settings
 
 
@@ -98,7 +98,7 @@ def assemble(blocks: DataFrame, key: str, mtime: Column | None = None, name: Col
     )
     code = F.coalesce(*[F.when(F.col("strategy") == k, v) for k, v in fixed.STRATEGIES.items()])
     head = header_column(F.col("level"), code, F.lit(0) if mtime is None else mtime, F.lit(None).cast("binary") if name is None else name)
-    bytes_ = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["deflated"])), ""))
+    bytes_ = join_bytes(F.col("parts.deflated"))
     return body.join(sums, key).select(
         key, F.concat(head, bytes_, trailer_column(F.col("crc32"), F.col("total"))).alias("packed"), "crc32", "total"
     )

@@ -1,15 +1,15 @@
-"""Views of compressed values: files, members, listing, verdicts.
+"""Views of compressed values: members, listing, verdicts.
 
 Each reads only what it needs: a listing looks at the first bytes and the last eight, and
 never inflates; a test inflates and keeps nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.gzip_format import NotGzip, is_gzip, parse_header, trailer_fields
+from ..functions.gzip_format import NotGzip, parse_header, trailer_fields
 from ..functions.names import path_is_gzip, ratio
 from . import codec
 from .arrow import binary, map_value
@@ -22,14 +22,6 @@ MEMBER = (
 )
 
 
-def files(spark: SparkSession, path: str, recursive: bool = False, suffix: str | None = None) -> DataFrame:
-    """path, mtime, length, content of files. Where content isn't selected it isn't read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if suffix:
-        reader = reader.option("pathGlobFilter", f"*{suffix}")
-    return reader.load(path).select("path", F.col("modificationTime").alias("mtime"), "length", "content")
-
-
 def headers(df: DataFrame, packed: str = "packed") -> DataFrame:
     """``df`` with hdr_state (ok, short, not_gzip), hdr_len, flags, hdr_mtime, hdr_name,
     xfl, os and member_size in place of ``packed``; only its first bytes go to Python."""
@@ -141,7 +133,7 @@ def listing(df: DataFrame, path: str = "path", packed: str = "packed", stored_na
         "compressed",
         F.when(good, F.col("t__.isize")).alias("uncompressed"),
         F.when(good, F.lit(fixed.OK)).otherwise(F.lit(fixed.ERROR)).alias("status"),
-        F.when(short, "too short to be gzip").when(bad, "not in gzip format").alias("message"),
+        F.when(short, "shorter than a header and a trailer").when(F.col("hdr_state") == "short", "header goes beyond what a listing reads").when(bad, "not in gzip format").alias("message"),
     )
     if exact:
         sums = members(df, path, packed).groupBy(F.col(path).alias("path__")).agg(F.sum("isize").alias("all__"))
@@ -164,24 +156,6 @@ def listing_totals(listed: DataFrame) -> DataFrame:
 def verdicts(df: DataFrame, packed: str = "packed", strict: bool = True) -> DataFrame:
     """The test mode: ``df`` with members, total_out, status, err_code and message.
 
-    With ``strict`` (as when files are tested) what isn't gzip is an error, found by its
-    first two bytes, before anything is inflated."""
-    gz = is_gzip(F.col(packed).cast("binary"))
-    if not strict:
-        return decode(df, packed, payload=False).drop("layout", "total_in")
-    good = decode(df.filter(gz), packed, payload=False).drop("layout", "total_in")
-    rest = df.filter(~gz).drop(packed)
-    bad = rest.select(
-        "*",
-        F.lit(0).alias("members"),
-        F.lit(0).cast("long").alias("total_out"),
-        F.lit(fixed.ERROR).alias("status"),
-        F.lit(codec.DATA_ERROR).alias("err_code"),
-        F.lit("not in gzip format").alias("message"),
-    )
-    return good.unionByName(bad)
-
-
-def report(total_in: Column, total_out: Column, decompress: bool) -> Column:
-    """The verbose line's percentage for one value."""
-    return ratio(total_in, total_out) if decompress else ratio(total_out, total_in)
+    With ``strict`` (as when files are tested) what isn't gzip, null included, is an error,
+    found by its first two bytes, before anything is inflated. One pass over the values."""
+    return decode(df, packed, payload=False, strict=strict).drop("layout", "total_in")

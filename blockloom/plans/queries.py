@@ -16,6 +16,7 @@ from ..functions import fixed
 from ..functions.checksum import combine_crc
 from ..functions.gzip_format import header_column, le_number, trailer_fields
 from ..functions.names import derive_paths, parse_size, path_from_stored, ratio, worst
+from ..operators.arrow import join_bytes
 from ..operators.codec import Settings
 from ..operators.decode import concat_blocks, decode, decode_blocks, plan
 from ..operators.encode import assemble, chunks, deflate_chunks, encode, sync_points
@@ -124,8 +125,8 @@ def concat_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation, each a member, back to back: one value, decoded whole."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     packed = encode(turns, "data", SMALL)
-    parts = F.sort_array(F.collect_list(F.struct("turn", "packed")))
-    joined = packed.groupBy("conv_id").agg(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["packed"])), "")).alias("packed"))
+    parts = F.sort_array(F.collect_list(F.struct("turn", "packed")))["packed"]
+    joined = packed.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", join_bytes("parts").alias("packed"))
     return decode(joined).select("conv_id", "members", F.col("data").cast("string").alias("text"))
 
 
@@ -227,6 +228,17 @@ def segment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "members", "total", "status")
 
 
+def false_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored blocks whose data holds marker pairs, decoded in segments: cut at the false
+    boundaries, merged again."""
+    planted = F.concat("data", F.lit(bytearray(2 * fixed.MARKER_PAIR)), "data")
+    packed = encode(texts(spark, sf_dir).select("doc_id", planted.alias("data")), "data", Settings("blocks", 4096, cdc=False, level=0))
+    blocks, _ = decode_blocks(packed, "doc_id", target=1)
+    back = concat_blocks(blocks, "doc_id")
+    half = F.substring("data", F.lit(1), ((F.octet_length("data") - 2 * len(fixed.MARKER_PAIR)) / 2).cast("int"))
+    return back.select("doc_id", half.cast("string").alias("text"))
+
+
 def shared_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composition: how many chunks of the corpus are there more than once, and their bytes."""
     cut = chunks(texts(spark, sf_dir), "doc_id", "data", CONTENT)
@@ -273,7 +285,7 @@ LAYOUTS = {
 PLAIN = [
     roundtrip_parallel, file_roundtrip, header_fields, trailer_sizes, fixed_chunks, coalesce_groups, cdc_chunks,
     gear_sync_points, chunk_cover, block_crc32, crc_combine, concat_members, passthrough, trailing_garbage,
-    integrity_verdicts, null_sink, sized_members, segment_counts, segment_status, listing_rows, listing_with_totals,
+    integrity_verdicts, false_pairs, null_sink, sized_members, segment_counts, segment_status, listing_rows, listing_with_totals,
     path_derive, size_strings, worst_status, ratio_rows, shared_chunks, compression_ratio_by_lang, decoded_lang_totals,
     decoded_event_totals,
 ]
@@ -294,6 +306,9 @@ ORACLES = {
     "fixed_chunks": f"""SELECT doc_id, k::INT AS chunk_idx, (k * {BLOCK})::BIGINT AS "offset",
         least({BLOCK}, n - k * {BLOCK})::BIGINT AS length, k = m - 1 AS is_last
         FROM (SELECT doc_id, {RAW} AS n, {MANY} AS m, unnest(range(0, {MANY})) AS k FROM documents)""",
+    # Stored blocks are a little larger than their 512 bytes, so four reach 2048.
+    "coalesce_groups": f"SELECT doc_id, (({MANY} + 3) // 4)::BIGINT AS n_segments FROM documents",
+    "false_pairs": SAME_TEXT,
     "segment_counts": f"SELECT doc_id, {MANY}::BIGINT AS n_segments FROM documents",
     "segment_status": f"SELECT doc_id, 1::BIGINT AS members, {RAW}::BIGINT AS total, 'ok' AS status FROM documents",
     "chunk_cover": f"SELECT doc_id, {RAW}::BIGINT AS n_bytes, true AS bounded FROM documents",

@@ -189,19 +189,27 @@ class GzipWriter(DataSourceWriter):
         where, inner = _open(self.path)
         from pyarrow import fs
 
+        # Old files go last: a failure in between leaves both, never neither.
+        old = []
         if self.overwrite and where.get_file_info(inner).type == fs.FileType.Directory:
-            for f in where.get_file_info(fs.FileSelector(inner)):
-                if f.is_file and not f.base_name.startswith("."):
-                    where.delete_file(f.path)
+            old = [f.path for f in where.get_file_info(fs.FileSelector(inner)) if f.is_file and not f.base_name.startswith(".")]
         for m in messages:
             if m is not None:
                 where.move(m.hidden, m.final)
+        for path in old:
+            where.delete_file(path)
+        self._sweep(where, inner)
 
     def abort(self, messages: list[Written | None]) -> None:
-        where, _ = _open(self.path)
-        for m in messages:
-            if m is not None:
-                where.delete_file(m.hidden)
+        self._sweep(*_open(self.path))
+
+    def _sweep(self, where, inner: str) -> None:
+        """Removes this job's hidden files, also those of tasks that failed."""
+        from pyarrow import fs
+
+        for f in where.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            if f.is_file and f.base_name.startswith(".") and self.job in f.base_name:
+                where.delete_file(f.path)
 
 
 class GzipFiles(DataSource):

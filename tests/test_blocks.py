@@ -20,12 +20,9 @@ from blockloom.operators.encode import assemble, chunks, deflate_chunks
 from blockloom.operators.views import listing, listing_totals, members, verdicts
 
 
-def varied(n, seed=0x12345678):
-    out, s = bytearray(), seed
-    for _ in range(n):
-        s = (s * 1664525 + 1013904223) & fixed.U32
-        out.append(0x20 + ((s >> 24) & 0x3F))
-    return bytes(out)
+def varied(n, seed=11):
+    """Printable bytes that don't repeat."""
+    return bytes(random.Random(seed).choices(range(32, 96), k=n))
 
 
 LAYOUTS = [Settings(k, 4096, cdc=c, least_span=32) for k in ("stream", "blocks", "bgzf", "migz") for c in (True, False)] + [
@@ -201,3 +198,36 @@ def test_extra_columns_stay(spark):
     r = decode_rows(df).first()
     assert (r.id, r.other, bytes(r.data), r.layout) == (1, "keep", b"abc", "passthru")
     assert decode_rows(df.filter(F.lit(False))).count() == 0
+
+
+def test_null_keys_and_values(spark):
+    raw = {None: varied(3000, 5), "a": varied(2000), "b": None, "c": b""}
+    rows = [(k, None if v is None else encode(v, Settings("blocks", 500, cdc=False))) for k, v in raw.items()]
+    df = spark.createDataFrame(rows, "key string, packed binary")
+    blocks, seen = decode_blocks(df, "key", target=1)
+    assert {r.key: (r.status, r.total) for r in seen.collect()} == {None: ("ok", 3000), "a": ("ok", 2000), "b": ("ok", 0), "c": ("ok", 0)}
+    assert {r.key: bytes(r.data) for r in concat_blocks(blocks, "key").collect()} == {k: v for k, v in raw.items() if v is not None}
+    strict = {r.key: (r.status, r.message) for r in verdicts(df).collect()}
+    assert strict["b"] == ("error", "not in gzip format") and strict[None] == ("ok", None)
+    assert {r.key: r.status for r in verdicts(df, strict=False).collect()}["b"] == "ok"
+
+
+def test_large_blocks_are_decoded_as_streams(spark):
+    data = varied(60_000)
+    rows = [("large", encode(data, Settings("blocks", 20_000, cdc=False))), ("small", encode(data, Settings("blocks", 900, cdc=False)))]
+    blocks, seen = decode_blocks(spark.createDataFrame(rows, "key string, packed binary"), "key", target=1, limit=5000)
+    assert {r.key: (r.status, r.total) for r in seen.collect()} == {"large": ("ok", 60_000), "small": ("ok", 60_000)}
+    assert all(bytes(r.data) == data for r in concat_blocks(blocks, "key").collect())
+
+
+def test_the_test_mode_keeps_nothing():
+    packed = gzip.compress(bytes(50 << 20))
+    d = decode(packed, keep=False)
+    assert d.parts == [] and d.size == 50 << 20 and d.members == 1 and d.code is None
+
+
+def test_columns_named_like_the_outcome_are_replaced(spark):
+    df = spark.createDataFrame([(encode(b"abc", Settings("stream")), "x", "y", 7)], "packed binary, members string, status string, other int")
+    row = decode_rows(df).first()
+    assert (row.members, row.status, row.other, bytes(row.data)) == (1, "ok", 7, b"abc")
+    assert len(row) == len(set(row.__fields__))
