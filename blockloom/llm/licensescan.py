@@ -1,9 +1,12 @@
 """License scans (operator 5): sparse TF-IDF cosine to templates, then inheritance by path.
 
-Every text is searched whole for passages that speak of rights (a sentence, a line, the
-paragraph around it, the text itself). Passages and templates are sparse TF-IDF vectors;
-how many documents hold a template word is counted over all documents. A passage's license
-is the template with the highest cosine, if it reaches the threshold. A file that as a
+Every text is searched whole: its sentences, lines, paragraphs and itself are passages.
+Passages and templates are sparse TF-IDF vectors; how many documents hold a template word
+is counted over all documents. A passage's license is the template with the highest cosine,
+if it reaches the threshold. Of each template the heaviest words are anchors, as many as it
+takes for the others' mass to stay below any threshold: a passage without an anchor can't
+reach one, so only those with one are scored. Short templates differ in a name or a version
+only; these must be there for the template to count. A file that as a
 whole is close to a template, or that is named like a license file, speaks for its
 directory; files without a license of their own inherit from the nearest directory above
 them that has one.
@@ -31,9 +34,35 @@ from .common import materialise, only
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Released under the Apache License."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "This file is MIT licensed."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "Licensed under GPL v2."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "Licensed under GPL v3."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
@@ -53,7 +82,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 THRESHOLD = 0.7
 FILE_THRESHOLD = 0.5  # for a whole text to speak for its directory
 NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
-ANCHOR = re.compile(r"licen[cs]|copyright|rights reserved|spdx|creative commons|public domain|hereby granted|redistribut", re.I)
+SHORT = 14  # words up to which a template needs its names and versions
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 SENTENCE = re.compile(r"(?<=[.;!?])\s+")
 
@@ -83,49 +112,82 @@ def document_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
     return counts.pop("", 0), counts
 
 
+def _required() -> list[frozenset[str]]:
+    """For each template the words that a passage must have: of a short one those of its
+    license alone and those that begin with a digit."""
+    of: dict[str, set[str]] = {}
+    for name, text in TEMPLATES:
+        for w in tokens(text):
+            of.setdefault(w, set()).add(name)
+    short = [len(tokens(text)) <= SHORT for _, text in TEMPLATES]
+    named = [frozenset(w for w in tokens(text) if len(of[w]) == 1 and w in NAME_WORDS or w[0].isdigit() and len(w) < 4) for _, text in TEMPLATES]
+    return [words if few else frozenset() for words, few in zip(named, short)]
+
+
+# Words that name a license.
+NAME_WORDS = frozenset("apache mit gpl lgpl agpl lesser affero bsd isc mpl mozilla cc cc0 unlicense nc sa noncommercial 2 3 v2 v3".split())
+
+
 class Scorer:
     def __init__(self, n: int, counts: dict[str, int]):
         self.idf = {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1 for w in VOCABULARY}
         self.other = math.log(1 + n) + 1  # of words that no template has
-        self.templates = [(name, *self.vector(tokens(text))) for name, text in TEMPLATES]
+        self.templates = [(name, *self.vector(tokens(text)), must) for (name, text), must in zip(TEMPLATES, _required())]
+        least, anchors = min(THRESHOLD, FILE_THRESHOLD) - 1e-6, set()
+        for _, v, norm, _ in self.templates:
+            rest = norm * norm
+            for w in sorted(v, key=lambda w: (-self.idf[w], w)):
+                if rest < (least * norm) ** 2:
+                    break
+                anchors.add(w)
+                rest -= v[w] ** 2
+        self.anchors = frozenset(anchors)
 
     def vector(self, words: list[str]) -> tuple[dict[str, float], float]:
         v = {w: c * self.idf.get(w, self.other) for w, c in Counter(words).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
     def best(self, words: list[str]) -> tuple[float, str]:
+        if self.anchors.isdisjoint(words):
+            return 0.0, ""
         v, norm = self.vector(words)
         top = (0.0, "")
-        for name, t, t_norm in self.templates:
+        for name, t, t_norm, must in self.templates:
+            if must and not must <= v.keys():
+                continue
             dot = sum(x * v[w] for w, x in t.items() if w in v)
             if dot and (s := dot / (norm * t_norm)) > top[0] + 1e-12:
                 top = (s, name)
         return top
 
     def scan(self, text: str | None) -> tuple[str | None, float, float, str | None]:
-        """(license, its score, the whole text's score and license)"""
-        if not text or not ANCHOR.search(text):
+        """(license, its score, the whole text's score and license); scores under both
+        thresholds may be stated as 0"""
+        if not text:
             return None, 0.0, 0.0, None
         whole_words = tokens(text)
+        if self.anchors.isdisjoint(whole_words):
+            return None, 0.0, 0.0, None
         whole = self.best(whole_words)
         top = whole
         lines = text.split("\n")
-        blank = [not x.strip() for x in lines]
         done = -1
         for i, line in enumerate(lines):
-            if not ANCHOR.search(line):
+            words = tokens(line)
+            if self.anchors.isdisjoint(words):
                 continue
-            passages = [line, *SENTENCE.split(line)]
+            passages = [words, *map(tokens, SENTENCE.split(line))]
             if i > done:  # the paragraph around it, once
                 a = b = i
-                while a > 0 and not blank[a - 1]:
+                while a > 0 and lines[a - 1].strip():
                     a -= 1
-                while b + 1 < len(lines) and not blank[b + 1]:
+                while b + 1 < len(lines) and lines[b + 1].strip():
                     b += 1
                 done = b
-                passages.append("\n".join(lines[a : b + 1]))
+                if b > a:
+                    passages.append(tokens("\n".join(lines[a : b + 1])))
             for p in passages:
-                if (s := self.best(tokens(p)))[0] > top[0] + 1e-12:
+                if (s := self.best(p))[0] > top[0] + 1e-12:
                     top = s
         ok = top[0] >= THRESHOLD
         return (top[1] if ok else None), top[0], whole[0], (whole[1] or None)

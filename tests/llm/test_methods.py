@@ -239,3 +239,27 @@ def test_licenses_of_an_empty_table_and_a_long_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     assert {r.doc_id: r.license for r in licensescan.scan_licenses(df).collect()} == {1: "MIT", 2: "MIT"}
     assert licensescan.scan_licenses(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Released under the Apache license.", "Apache-2.0"), ("SPDX-License-Identifier: MIT", "MIT"), ("Licensed under GPL v3", "GPL-3.0"),
+        ("This file is MIT licensed", "MIT"), ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GPL-2.0"), ("Licensed under GPL v2", "GPL-2.0"),
+        ("Released under the Foo License.", None), ("SPDX-License-Identifier: Foo-1.0", None), ("All rights reserved.", "Proprietary"),
+    ],
+)
+def test_license_names_are_told_apart(text, name):
+    scorer = licensescan.Scorer(1000, dict.fromkeys(["the", "is", "this", "of"], 700) | {"license": 30, "under": 20})
+    assert scorer.scan(f"{sentence(1)}\n\n{text}\n\n{sentence(2)}")[0] == name
+
+
+def test_license_anchors_lose_nothing():
+    rng, scorer = random.Random(3), licensescan.Scorer(500, {"the": 300, "of": 200, "this": 100, "license": 9})
+    bare = licensescan.Scorer(500, {"the": 300, "of": 200, "this": 100, "license": 9})
+    bare.anchors = licensescan.VOCABULARY | {"x"}
+    for _ in range(400):
+        words = rng.choice(licensescan.TEMPLATES)[1].split()
+        text = " ".join(w for w in words if rng.random() < 0.8) + rng.choice([" ", "\n", ". "]) + sentence(rng.randrange(99), rng.randrange(9))
+        a, b = scorer.scan(text), bare.scan(text)
+        assert a[0] == b[0] and (a[1] == b[1] or max(a[1], b[1]) < licensescan.FILE_THRESHOLD)
