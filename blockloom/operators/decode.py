@@ -165,7 +165,7 @@ def inflate_segments(segments: DataFrame, key: str, limit: int = fixed.MAX_BLOCK
     return map_value(segments, "payload", make, schema, keep)
 
 
-def _islands(status: DataFrame, key: str) -> DataFrame:
+def islands(status: DataFrame, key: str) -> DataFrame:
     """Adds ``island``: a block segment that ended inside a block, or failed, is merged
     with its successor, whatever that one's own status."""
     w = Window.partitionBy(key).orderBy("seg_idx")
@@ -203,7 +203,7 @@ def decode_blocks(
     pieces = materialise(inflate_segments(cut, k, limit), "pieces")
     while True:
         heads = pieces.filter("piece_idx = 0").select(k, "seg_idx", "layout", "status", "is_last")
-        merged = materialise(_islands(heads, k), "islands")
+        merged = materialise(islands(heads, k), "islands")
         grown = merged.groupBy(k, "island").agg(F.count(F.lit(1)).alias("n"), F.min("seg_idx").alias("first")).filter("n > 1")
         if grown.isEmpty():
             break
@@ -234,8 +234,18 @@ def decode_blocks(
 
 
 def _settle(pieces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Members, offsets, checksums and verdicts over metadata only."""
-    meta = pieces.drop("decoded")
+    """Blocks in order, and verdicts."""
+    meta, verdicts = settle(pieces.drop("decoded"), key)
+    blocks = meta.filter("layout <> 'none'").select(key, "seg_idx", "piece_idx", "member_idx", "block_idx", "raw_offset").join(
+        pieces.select(key, "seg_idx", "piece_idx", F.col("out_len").alias("raw_len"), "crc32", F.col("decoded").alias("payload")),
+        [key, "seg_idx", "piece_idx"],
+    )
+    return blocks.select(key, "member_idx", "block_idx", "raw_offset", "raw_len", "crc32", "payload"), verdicts
+
+
+def settle(meta: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(pieces that count with member_idx, block_idx and raw_offset; verdicts): members,
+    offsets and checksums over metadata only."""
     order = Window.partitionBy(key).orderBy("seg_idx", "piece_idx")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     bad = (F.col("status") != codec.FULL) & (F.col("status") != codec.END)
@@ -281,11 +291,7 @@ def _settle(pieces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         F.col("e.err_code").alias("err_code"),
         F.col("e.message").alias("message"),
     )
-    blocks = meta.filter("layout <> 'none'").select(key, "seg_idx", "piece_idx", "member_idx", "block_idx", "raw_offset").join(
-        pieces.select(key, "seg_idx", "piece_idx", F.col("out_len").alias("raw_len"), "crc32", F.col("decoded").alias("payload")),
-        [key, "seg_idx", "piece_idx"],
-    )
-    return blocks.select(key, "member_idx", "block_idx", "raw_offset", "raw_len", "crc32", "payload"), verdicts
+    return meta, verdicts
 
 
 def concat_blocks(blocks: DataFrame, key: str, out: str = "data") -> DataFrame:

@@ -5,7 +5,7 @@ never inflates; a test inflates and keeps nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -109,16 +109,16 @@ def listing(df: DataFrame, path: str = "path", packed: str = "packed", stored_na
     The size is the last member's, modulo 2**32, as the format's listing always was; with
     ``exact`` it is the sum over all members. The name is the path without its suffix, or
     the stored one."""
-    size = F.octet_length(F.col(packed).cast("binary"))
-    shown = F.when(path_is_gzip(F.col(path)), F.substring(F.col(path), F.lit(1), F.length(path) - len(fixed.SUFFIX))).otherwise(F.col(path))
-    tail = F.substring(F.col(packed).cast("binary"), -fixed.TRAILER_LEN, fixed.TRAILER_LEN)
-    thin = df.select(
-        F.col(path).alias("path__"),
-        shown.alias("shown__"),
-        size.cast("long").alias("compressed"),
-        trailer_fields(tail).alias("t__"),
-        F.col(packed).alias("p__"),
-    )
+    value = F.col(packed).cast("binary")
+    tail = F.substring(value, -fixed.TRAILER_LEN, fixed.TRAILER_LEN)
+    sums = members(df, path, packed).groupBy(F.col(path).alias("path__")).agg(F.sum("isize").alias("all__")) if exact else None
+    return listed(df, F.col(path), F.octet_length(value), F.col(packed), tail, stored_names, sums)
+
+
+def listed(df: DataFrame, path: Column, size: Column, head: Column, tail: Column, stored_names: bool = False, sums: DataFrame | None = None) -> DataFrame:
+    """A listing from first and last bytes; ``sums`` has the exact sizes by path."""
+    shown = F.when(path_is_gzip(path), F.substring(path, F.lit(1), F.length(path) - len(fixed.SUFFIX))).otherwise(path)
+    thin = df.select(path.alias("path__"), shown.alias("shown__"), size.cast("long").alias("compressed"), trailer_fields(tail).alias("t__"), head.alias("p__"))
     h = headers(thin, "p__")
     short = F.col("compressed") < fixed.HEADER_LEN + fixed.TRAILER_LEN
     bad = F.col("hdr_state") != "ok"
@@ -135,8 +135,7 @@ def listing(df: DataFrame, path: str = "path", packed: str = "packed", stored_na
         F.when(good, F.lit(fixed.OK)).otherwise(F.lit(fixed.ERROR)).alias("status"),
         F.when(short, "shorter than a header and a trailer").when(F.col("hdr_state") == "short", "header goes beyond what a listing reads").when(bad, "not in gzip format").alias("message"),
     )
-    if exact:
-        sums = members(df, path, packed).groupBy(F.col(path).alias("path__")).agg(F.sum("isize").alias("all__"))
+    if sums is not None:
         out = out.join(sums, "path__", "left").withColumn("uncompressed", F.when(F.col("status") == fixed.OK, F.coalesce("all__", "uncompressed"))).drop("all__")
     return out.withColumn("ratio", F.when(F.col("status") == fixed.OK, ratio(F.col("compressed"), F.col("uncompressed")))).drop("path__")
 

@@ -22,6 +22,7 @@ from ..operators.decode import concat_blocks, decode, decode_blocks, plan
 from ..operators.encode import assemble, chunks, deflate_chunks, encode, sync_points
 from ..operators.views import headers, listing, listing_totals, members, verdicts
 from ..sources import gzip_files
+from ..sources.ranges import read_files
 from ..storage import materialise, shared_dir
 
 BLOCK = 512
@@ -67,6 +68,18 @@ def file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def ranged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as a few gzip files of small blocks, each read by many ranges: bytes
+    and line feeds."""
+    gzip_files.register(spark)
+    where = f"{shared_dir(spark)}/blockloom/files-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    lines.write.format("blockloom").option("block_size", "8192").mode("append").save(where)
+    back = read_files(spark, where, split=128 << 10, target=16 << 10)
+    feeds = F.octet_length("payload") - F.octet_length(F.replace(F.col("payload").cast("string"), F.lit("\n"), F.lit("")))
+    return back.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.sum(feeds), F.lit(0)).cast("long").alias("n_feeds"))
+
+
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers built in Catalyst and parsed again."""
     docs = texts(spark, sf_dir)
@@ -283,7 +296,7 @@ LAYOUTS = {
     "roundtrip_stored": Settings("blocks", 4096, level=0),
 }
 PLAIN = [
-    roundtrip_parallel, file_roundtrip, header_fields, trailer_sizes, fixed_chunks, coalesce_groups, cdc_chunks,
+    roundtrip_parallel, file_roundtrip, ranged_files, header_fields, trailer_sizes, fixed_chunks, coalesce_groups, cdc_chunks,
     gear_sync_points, chunk_cover, block_crc32, crc_combine, concat_members, passthrough, trailing_garbage,
     integrity_verdicts, false_pairs, null_sink, sized_members, segment_counts, segment_status, listing_rows, listing_with_totals,
     path_derive, size_strings, worst_status, ratio_rows, shared_chunks, compression_ratio_by_lang, decoded_lang_totals,
@@ -295,11 +308,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _round_trip(s) for name, s in LAYOUTS.items()} | {f.__name__: f for f in PLAIN}
 
 
+# Gear words by their rule, and the bytes of each text. A mask of m low bits sees the words
+# of the last m bytes only.
+BYTES = """g AS (SELECT printf('%02X', i) AS hh, i AS b, ('0x' || left(md5(printf('%02X', i)), 8))::BIGINT AS w FROM range(256) t(i)),
+    x AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS hhs FROM documents),
+    spots AS (SELECT doc_id, unnest(hhs) AS hh, unnest(range(len(hhs))) AS pos FROM x)"""
+
+
+def _hash(bits: int) -> str:
+    """The low bits of the hash at each position: doc_id, pos, h."""
+    terms = " + ".join(f"{1 << k} * coalesce(lag(w, {k}) OVER o, 0)" for k in range(1, bits))
+    return f"SELECT doc_id, pos, (w + {terms}) & {(1 << bits) - 1} AS h FROM spots JOIN g USING (hh) WINDOW o AS (PARTITION BY doc_id ORDER BY pos)"
+
+
+# Content-defined chunks of 1024 bytes: the strict mask has 12 bits, the loose one 7.
+CUTS = f"""{BYTES}, hashed AS ({_hash(12)}),
+    d AS (SELECT x.doc_id, len(any_value(hhs)) AS n, list(pos ORDER BY pos) FILTER (h = 0) AS strict, list(pos ORDER BY pos) FILTER (h & 127 = 0) AS loose
+        FROM x LEFT JOIN hashed USING (doc_id) GROUP BY x.doc_id),
+    c(doc_id, chunk_idx, a, b, cut) AS (
+        SELECT doc_id, -1, 0::BIGINT, 0::BIGINT, '' FROM d
+        UNION ALL
+        SELECT doc_id, k, s, CASE WHEN p IS NOT NULL THEN p + 1 WHEN q IS NOT NULL THEN q + 1 ELSE least(s + 2048, n) END,
+            CASE WHEN p IS NOT NULL THEN 'strict' WHEN q IS NOT NULL THEN 'loose' WHEN s + 2048 <= n THEN 'forced' ELSE 'end' END
+        FROM (SELECT d.doc_id, c.chunk_idx + 1 AS k, c.b AS s, n,
+                list_filter(strict, lambda v: v >= c.b + 511 AND v < c.b + 1024)[1] AS p,
+                list_filter(loose, lambda v: v >= c.b + 1024 AND v < c.b + 2048)[1] AS q
+            FROM c JOIN d USING (doc_id) WHERE c.b < n OR c.chunk_idx < 0 AND n = 0)),
+    cuts AS (SELECT c.doc_id, chunk_idx, a, b - a AS length, cut, b = n AS is_last FROM c JOIN d USING (doc_id) WHERE chunk_idx >= 0)"""
+# A checksum is linear: each byte adds its table word, moved on by the bytes that follow.
+CRC = """t(b, k, v) AS (
+        SELECT i, -8, i FROM range(256) r(i)
+        UNION ALL
+        SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 0),
+    t0 AS (SELECT b, v FROM t WHERE k = 0),
+    moved(b, k, v) AS (
+        SELECT b, 0, v FROM t0 UNION ALL SELECT -1, 0, 4294967295
+        UNION ALL
+        SELECT m.b, m.k + 1, xor(m.v >> 8, t0.v) FROM moved m JOIN t0 ON t0.b = m.v & 255 WHERE m.k < 2048)"""
 RAW = "octet_length(encode(coalesce(text, '')))"
 MANY = f"greatest(1, ({RAW} + {BLOCK - 1}) // {BLOCK})"
 ORACLES = {
     "roundtrip_parallel": SAME_TEXT,
     "file_roundtrip": f"SELECT coalesce(sum({RAW}), 0)::BIGINT AS n_bytes FROM documents",
+    "ranged_files": f"""SELECT coalesce(sum({RAW}), 0)::BIGINT AS n_bytes,
+        coalesce(sum(length(text) - length(replace(text, chr(10), ''))), 0)::BIGINT AS n_feeds FROM documents""",
     "header_fields": """SELECT doc_id, 'ok' AS hdr_state, (10 + octet_length(encode('dir/' || source || '.txt')) + 1)::INT AS hdr_len,
         8 AS flags, doc_id + 1 AS hdr_mtime, 'dir/' || source || '.txt' AS hdr_name, 2 AS xfl, 3 AS os FROM documents""",
     "trailer_sizes": f"SELECT doc_id, {RAW}::BIGINT AS isize, 35615::BIGINT AS magic FROM documents",
@@ -312,6 +364,19 @@ ORACLES = {
     "segment_counts": f"SELECT doc_id, {MANY}::BIGINT AS n_segments FROM documents",
     "segment_status": f"SELECT doc_id, 1::BIGINT AS members, {RAW}::BIGINT AS total, 'ok' AS status FROM documents",
     "chunk_cover": f"SELECT doc_id, {RAW}::BIGINT AS n_bytes, true AS bounded FROM documents",
+    "gear_sync_points": f"WITH {BYTES} SELECT doc_id, pos FROM ({_hash(9)}) WHERE h = 0",
+    "cdc_chunks": f"""WITH RECURSIVE {CUTS} SELECT doc_id, chunk_idx::INT AS chunk_idx, a AS "offset", length, cut, is_last FROM cuts""",
+    "shared_chunks": f"""WITH RECURSIVE {CUTS}, per AS (
+            SELECT count(*) AS n, any_value(length) AS length FROM cuts JOIN x USING (doc_id)
+            GROUP BY array_to_string(hhs[a + 1 : a + length], ''))
+        SELECT count(*) AS n_distinct, sum(n)::BIGINT AS n_chunks, sum((n - 1) * length)::BIGINT AS saved_bytes FROM per""",
+    "block_crc32": f"""WITH RECURSIVE {CUTS}, {CRC}, bits AS (
+            SELECT cuts.doc_id, chunk_idx, bit_xor(v) AS v FROM cuts
+            JOIN spots ON spots.doc_id = cuts.doc_id AND pos >= a AND pos < a + length JOIN g USING (hh)
+            JOIN moved ON moved.b = g.b AND moved.k = a + length - 1 - pos GROUP BY ALL)
+        SELECT cuts.doc_id, cuts.chunk_idx::INT AS block_idx, a AS raw_offset, length AS raw_len,
+            xor(xor(z.v, coalesce(bits.v, 0)), 4294967295)::BIGINT AS crc32
+        FROM cuts JOIN moved z ON z.b = -1 AND z.k = length LEFT JOIN bits ON bits.doc_id = cuts.doc_id AND bits.chunk_idx = cuts.chunk_idx""",
     "crc_combine": f"SELECT doc_id, {RAW}::BIGINT AS total, true AS same FROM documents",
     "concat_members": """SELECT conv_id, count(*)::INT AS members, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text
         FROM conversations GROUP BY conv_id""",

@@ -27,18 +27,35 @@ STEP = 1 << 20
 TASK_BYTES = 128 << 20  # compressed bytes dealt to one task
 
 
-def _open(path: str):
+def open_path(path: str):
     """The file system of a path or URI and the path inside it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+def find_files(path: str, recursive: bool = False, suffix: str = "") -> list[tuple[str, int]]:
+    """(path, bytes) of the file at ``path``, or of the visible files in it, by name."""
+    from pyarrow import fs
+
+    where, inner = open_path(path)
+    info = where.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        found = where.get_file_info(fs.FileSelector(inner, recursive=recursive))
+        found = [f for f in found if f.is_file and not f.base_name.startswith((".", "_")) and f.base_name.endswith(suffix)]
+    elif info.is_file:
+        found = [info]
+    else:
+        raise FileNotFoundError(path)
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    return sorted((scheme + f.path, f.size) for f in found)
+
+
 class DamagedFile(ValueError):
     """Corrupt or truncated data; the message names the file."""
 
 
-def _pieces(stream, path: str, strict: bool) -> Iterator[bytes]:
+def pieces(stream, path: str, strict: bool) -> Iterator[bytes]:
     """Decoded pieces of at most STEP bytes, member after member, verified at each end."""
     buf = stream.read(STEP)
     if not buf.startswith(fixed.MAGIC):
@@ -97,32 +114,20 @@ class GzipReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         """Files in order of their names, dealt to tasks of about ``taskBytes``."""
-        from pyarrow import fs
-
-        where, inner = _open(self.path)
-        info = where.get_file_info(inner)
-        if info.type == fs.FileType.Directory:
-            found = where.get_file_info(fs.FileSelector(inner, recursive=self.recursive))
-            found = [f for f in found if f.is_file and not f.base_name.startswith((".", "_")) and f.base_name.endswith(self.suffix)]
-        elif info.is_file:
-            found = [info]
-        else:
-            raise FileNotFoundError(self.path)
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
         out, now, size = [], [], 0
-        for f in sorted(found, key=lambda f: f.path):
-            now.append(scheme + f.path)
-            size += f.size
+        for path, n in find_files(self.path, self.recursive, self.suffix):
+            now.append(path)
+            size += n
             if size >= self.task_bytes:
                 out, now, size = [*out, Files(tuple(now))], [], 0
         return [*out, Files(tuple(now))] if now or not out else out
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
-            where, inner = _open(path)
+            where, inner = open_path(path)
             with where.open_input_stream(inner, compression=None) as stream:
                 at = 0
-                for k, part in enumerate(_pieces(stream, path, self.strict)):
+                for k, part in enumerate(pieces(stream, path, self.strict)):
                     yield path, k, at, part
                     at += len(part)
 
@@ -154,7 +159,7 @@ class GzipWriter(DataSourceWriter):
         s, strategy = self.settings, fixed.STRATEGIES[self.settings.strategy]
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}-{self.job}.gz"
-        where, inner = _open(self.path)
+        where, inner = open_path(self.path)
         where.create_dir(inner, recursive=True)
         hidden = f"{inner}/.{name}-{context.taskAttemptId()}"
         crc = size = 0
@@ -186,7 +191,7 @@ class GzipWriter(DataSourceWriter):
         return Written(hidden, f"{inner}/{name}")
 
     def commit(self, messages: list[Written | None]) -> None:
-        where, inner = _open(self.path)
+        where, inner = open_path(self.path)
         from pyarrow import fs
 
         # Old files go last: a failure in between leaves both, never neither.
@@ -201,7 +206,7 @@ class GzipWriter(DataSourceWriter):
         self._sweep(where, inner)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._sweep(*_open(self.path))
+        self._sweep(*open_path(self.path))
 
     def _sweep(self, where, inner: str) -> None:
         """Removes this job's hidden files, also those of tasks that failed."""
