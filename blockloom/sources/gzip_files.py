@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import fixed
+from ..functions.gear import REACH, hits
 from ..functions.gzip_format import NotGzip, build_header, parse_header, trailer
 from ..operators.codec import Settings, deflate_block
 
@@ -99,6 +100,50 @@ def pieces(stream, path: str, strict: bool) -> Iterator[bytes]:
         buf = buf[fixed.TRAILER_LEN :]
 
 
+def packed(parts: Iterator[bytes], s: Settings, mtime: int = 0, name: bytes | None = None) -> Iterator[bytes]:
+    """One member of blocks or one stream (or the bytes as they are), as its data comes.
+    What isn't yet cut is at most a few blocks, so memory stays bounded."""
+    if s.layout == "raw":
+        yield from parts
+        return
+    strategy = fixed.STRATEGIES[s.strategy]
+    yield build_header(s.level, strategy, mtime, name)
+    crc = size = 0
+    rest, before = bytearray(), b""
+    z = zlib.compressobj(s.level, zlib.DEFLATED, -15, 8, strategy)
+
+    def cut(everything: bool) -> Iterator[bytes]:
+        # The last chunk may still grow, so it waits for more or for the end.
+        ready = s.cuts(bytes(rest))
+        last = ready if everything else ready[:-1]
+        for at, n, _ in last:
+            yield deflate_block(bytes(rest[at : at + n]), s.level, strategy, False)
+        if last:
+            del rest[: last[-1][0] + last[-1][1]]
+
+    for part in parts:
+        crc, size = zlib.crc32(part, crc), size + len(part)
+        if s.layout == "stream":
+            at = 0
+            if s.sync_points:
+                for p in hits(before + part, fixed.STREAM_SYNC_SPAN - 1) - len(before) + 1:
+                    if p > 0:
+                        yield z.compress(part[at:p]) + z.flush(zlib.Z_SYNC_FLUSH)
+                        at = int(p)
+                before = (before + part)[1 - REACH :]
+            yield z.compress(part[at:])
+            continue
+        rest += part
+        if len(rest) >= 8 * s.block_size:
+            yield from cut(False)
+    if s.layout == "stream":
+        yield z.flush(zlib.Z_FINISH)
+    else:
+        yield from cut(True)
+        yield deflate_block(b"", s.level, strategy, True)
+    yield trailer(crc, size)
+
+
 @dataclass
 class Files(InputPartition):
     paths: tuple[str, ...]
@@ -156,38 +201,15 @@ class GzipWriter(DataSourceWriter):
         """One file. What isn't yet cut is at most a few blocks, so memory stays bounded."""
         from pyspark import TaskContext
 
-        s, strategy = self.settings, fixed.STRATEGIES[self.settings.strategy]
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}-{self.job}.gz"
         where, inner = open_path(self.path)
         where.create_dir(inner, recursive=True)
         hidden = f"{inner}/.{name}-{context.taskAttemptId()}"
-        crc = size = 0
-        rest = bytearray()
+        parts = (p.encode() if isinstance(p, str) else bytes(p) for row in rows if (p := row["payload"]) is not None)
         with where.open_output_stream(hidden, compression=None) as out:
-            out.write(build_header(s.level, strategy))
-
-            def cut(everything: bool) -> None:
-                # The last chunk may still grow, so it waits for more or for the end.
-                ready = s.cuts(bytes(rest))
-                last = ready if everything else ready[:-1]
-                for at, n, _ in last:
-                    out.write(deflate_block(bytes(rest[at : at + n]), s.level, strategy, False))
-                if last:
-                    del rest[: last[-1][0] + last[-1][1]]
-
-            for row in rows:
-                part = row["payload"]
-                if part is None:
-                    continue
-                part = part.encode() if isinstance(part, str) else bytes(part)
-                crc, size = zlib.crc32(part, crc), size + len(part)
-                rest += part
-                if len(rest) >= 8 * s.block_size:
-                    cut(False)
-            cut(True)
-            out.write(deflate_block(b"", s.level, strategy, True))
-            out.write(trailer(crc, size))
+            for part in packed(parts, self.settings):
+                out.write(part)
         return Written(hidden, f"{inner}/{name}")
 
     def commit(self, messages: list[Written | None]) -> None:
