@@ -8,7 +8,7 @@ afterwards over thin metadata by windows and a commutative checksum aggregate.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -165,12 +165,15 @@ def inflate_segments(segments: DataFrame, key: str, limit: int = fixed.MAX_BLOCK
     return map_value(segments, "payload", make, schema, keep)
 
 
+def _broken() -> Column:
+    return F.col("status").isin(codec.SHORT, codec.ERROR, codec.OVERFLOW) & (F.col("layout") == "blocks")
+
+
 def islands(status: DataFrame, key: str) -> DataFrame:
     """Adds ``island``: a block segment that ended inside a block, or failed, is merged
     with its successor, whatever that one's own status."""
     w = Window.partitionBy(key).orderBy("seg_idx")
-    broken = F.col("status").isin(codec.SHORT, codec.ERROR, codec.OVERFLOW) & (F.col("layout") == "blocks")
-    starts = F.when(F.coalesce(F.lag(broken).over(w), F.lit(False)), 0).otherwise(1)
+    starts = F.when(F.coalesce(F.lag(_broken()).over(w), F.lit(False)), 0).otherwise(1)
     return status.withColumn("island", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -192,22 +195,31 @@ def decode_blocks(
 
     False boundaries (marker bytes inside data) show as segments that end inside a block;
     they are merged with what follows and inflated again until nothing merges, which ends
-    as there are fewer segments each time. Only merged segments are inflated again. A value
-    with a segment that holds more than ``limit`` bytes is decoded as one stream instead."""
+    as there are fewer segments each time. Only merged segments are inflated again; ``df``
+    is read a second time for the values they belong to, so it must give the same rows. A
+    value with a segment that holds more than ``limit`` bytes is decoded as one stream
+    instead."""
     # Within a struct, null equals null.
     k = "key__"
     named = df.select(F.struct(F.col(key).alias("of")).alias(k), F.col(packed).alias(packed))
-    cut = plan(named, k, packed, target, parallel)
-    cut = cut.repartition(spread, k, "seg_idx") if spread else cut
-    cut = materialise(cut, "segments")
-    pieces = materialise(inflate_segments(cut, k, limit), "pieces")
-    while True:
+
+    def segments(values: DataFrame, cut: bool = parallel) -> DataFrame:
+        found = plan(values, k, packed, target, cut)
+        return found.repartition(spread, k, "seg_idx") if spread else found
+
+    def instead(old: DataFrame, of: list[str], those: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(those, of, "left_anti").select(old.columns).unionByName(new.select(old.columns))
+
+    # Segments are cut and inflated in one stage; only metadata says whether any must merge.
+    pieces = materialise(inflate_segments(segments(named), k, limit), "pieces")
+    cut = None
+    while not pieces.filter(_broken() & ~F.col("is_last") & (F.col("piece_idx") == 0)).isEmpty():
         heads = pieces.filter("piece_idx = 0").select(k, "seg_idx", "layout", "status", "is_last")
         merged = materialise(islands(heads, k), "islands")
         grown = merged.groupBy(k, "island").agg(F.count(F.lit(1)).alias("n"), F.min("seg_idx").alias("first")).filter("n > 1")
-        if grown.isEmpty():
-            break
-        of = merged.join(grown, [k, "island"]).select(k, "seg_idx", "first")
+        of = materialise(merged.join(grown, [k, "island"]).select(k, "seg_idx", "first"), "of")
+        if cut is None:  # once: the payloads of the values concerned
+            cut = materialise(segments(named.join(of.select(k).distinct(), k, "left_semi")), "segments")
         parts = F.sort_array(F.collect_list(F.struct("seg_idx", "payload")))["payload"]
         joined = (
             cut.join(of, [k, "seg_idx"])
@@ -222,13 +234,12 @@ def decode_blocks(
             .withColumn("payload", join_bytes("parts"))
         )
         joined = materialise(joined.select(cut.columns), "merged")
-        cut = materialise(cut.join(of, [k, "seg_idx"], "left_anti").select(cut.columns).unionByName(joined), "segments")
-        again = inflate_segments(joined, k, limit)
-        pieces = materialise(pieces.join(of, [k, "seg_idx"], "left_anti").select(pieces.columns).unionByName(again.select(pieces.columns)), "pieces")
+        cut = materialise(instead(cut, [k, "seg_idx"], of, joined), "segments")
+        pieces = materialise(instead(pieces, [k, "seg_idx"], of, inflate_segments(joined, k, limit)), "pieces")
     large = pieces.filter(F.col("status") == codec.OVERFLOW).select(k).distinct()
     if not large.isEmpty():
-        whole = inflate_segments(plan(named.join(large, k, "left_semi"), k, packed, target, False), k)
-        pieces = materialise(pieces.join(large, k, "left_anti").select(pieces.columns).unionByName(whole.select(pieces.columns)), "pieces")
+        whole = inflate_segments(segments(named.join(large, k, "left_semi"), False), k)
+        pieces = materialise(instead(pieces, [k], large, whole), "pieces")
     blocks, seen = _settle(pieces, k)
     return tuple(x.select(F.col(f"{k}.of").alias(key), *[c for c in x.columns if c != k]) for x in (blocks, seen))
 
