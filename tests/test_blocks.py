@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import fixed
 from blockloom.functions.checksum import combine_crc, shifted
-from blockloom.functions.gear import content_cuts, gear_hashes, gear_table, span_mask
+from blockloom.functions.gear import content_cuts, gear_hashes, gear_table, hits, span_mask
 from blockloom.operators import codec
 from blockloom.operators.codec import Settings, decode, encode
 from blockloom.operators.decode import concat_blocks, decode_blocks
@@ -67,6 +67,13 @@ def test_gear_and_cuts_equal_the_plain_recurrence(data):
         assert content_cuts(data, block, 32) == brute_cuts(data, block, 32)
 
 
+@pytest.mark.parametrize("size", [0, 1, 15, 16, 31, 32, 32767, 32768, 32800, 200_001])
+def test_hits_equal_those_of_whole_hashes(size):
+    for data in (varied(size), bytes(size), bytes(random.Random(size).choices(range(3), k=size))):
+        for mask in (0, 1, 255, 4095, 0xFFFF, 0x1FFFF, (1 << 20) - 1):
+            assert list(hits(data, mask)) == [p for p, h in enumerate(gear_hashes(data)) if h & mask == 0]
+
+
 def test_cuts_survive_an_edit():
     data = varied(400_000)
     edited = data[:100_000] + b"U" * 100 + data[100_000:]
