@@ -49,8 +49,9 @@ def span_mask(span: int, least: int = fixed.SPAN_MIN) -> int:
     return (1 << (min(max(span, least), fixed.SPAN_MAX) - 1).bit_length()) - 1
 
 
-def _low_hits(raw: np.ndarray, mask: int) -> np.ndarray:
+def _low_hits(data: bytes, mask: int) -> np.ndarray:
     """Positions whose hash is zero under the mask's lower 16 bits."""
+    raw = np.frombuffer(data, np.uint8)
     table, low, out = gear_table().astype(np.uint16), np.uint16(mask & 0xFFFF), []
     most = min(TILE, len(raw)) + HALF_REACH
     hashes, shifted = np.empty(most, np.uint16), np.empty(most, np.uint16)
@@ -65,22 +66,23 @@ def _low_hits(raw: np.ndarray, mask: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _hashes_at(raw: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """The hash after each of these positions, TILE of them at a time."""
-    table, out = gear_table(), np.zeros(len(positions), np.uint32)
-    for k in range(0, len(positions), TILE):
-        some, h = positions[k : k + TILE], out[k : k + TILE]
-        for j in range(REACH):
-            at = some - j
-            h += np.where(at >= 0, table[raw[at]], np.uint32(0)) << np.uint32(j)
+def hashes_at(data: bytes, positions: np.ndarray) -> np.ndarray:
+    """The hash after each of these positions, a bounded number of them at a time."""
+    raw, table, back = np.frombuffer(data, np.uint8), gear_table(), np.arange(REACH)
+    out = np.empty(len(positions), np.uint32)
+    for k in range(0, len(positions), TILE // REACH):
+        at = positions[k : k + TILE // REACH, None] - back
+        words = table[raw[np.maximum(at, 0)]] << back.astype(np.uint32)
+        if at[0, -1] < 0:  # the zero state before the first byte; positions ascend
+            words[at < 0] = 0
+        words.sum(axis=1, dtype=np.uint32, out=out[k : k + TILE // REACH])
     return out
 
 
 def hits(data: bytes, mask: int) -> np.ndarray:
     """Positions whose hash is zero under the mask."""
-    raw = np.frombuffer(data, np.uint8)
-    found = _low_hits(raw, mask)
-    return found if mask <= 0xFFFF else found[(_hashes_at(raw, found) & np.uint32(mask)) == 0]
+    found = _low_hits(data, mask)
+    return found if mask <= 0xFFFF else found[(hashes_at(data, found) & np.uint32(mask)) == 0]
 
 
 def content_cuts(data: bytes, block: int, least_span: int = fixed.SPAN_MIN) -> list[tuple[int, int, str]]:
@@ -94,7 +96,7 @@ def content_cuts(data: bytes, block: int, least_span: int = fixed.SPAN_MIN) -> l
         return []
     # Whatever the strict mask hits, the loose one, with fewer bits, hits as well.
     loose = hits(data, span_mask(block // 8, least_span))
-    strict = loose[(_hashes_at(np.frombuffer(data, np.uint8), loose) & np.uint32(span_mask(4 * block, least_span))) == 0]
+    strict = loose[(hashes_at(data, loose) & np.uint32(span_mask(4 * block, least_span))) == 0]
     half = max(block // 2, 1)
 
     def first(of: np.ndarray, a: int, b: int) -> int | None:

@@ -4,6 +4,7 @@ import gzip
 import random
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import fixed
 from blockloom.functions.checksum import combine_crc, shifted
-from blockloom.functions.gear import content_cuts, gear_hashes, gear_table, hits, span_mask
+from blockloom.functions.gear import content_cuts, gear_hashes, gear_table, hashes_at, hits, span_mask
 from blockloom.operators import codec
 from blockloom.operators.codec import Settings, decode, encode
 from blockloom.operators.decode import concat_blocks, decode_blocks
@@ -70,6 +71,7 @@ def test_gear_and_cuts_equal_the_plain_recurrence(data):
 @pytest.mark.parametrize("size", [0, 1, 15, 16, 31, 32, 32767, 32768, 32800, 200_001])
 def test_hits_equal_those_of_whole_hashes(size):
     for data in (varied(size), bytes(size), bytes(random.Random(size).choices(range(3), k=size))):
+        assert list(hashes_at(data, np.arange(size))) == list(gear_hashes(data))
         for mask in (0, 1, 255, 4095, 0xFFFF, 0x1FFFF, (1 << 20) - 1):
             assert list(hits(data, mask)) == [p for p, h in enumerate(gear_hashes(data)) if h & mask == 0]
 
