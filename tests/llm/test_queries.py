@@ -1,15 +1,11 @@
-"""Registered queries against their SQL, and the pipeline stage by stage."""
+"""Registered queries against their SQL."""
 
 from pathlib import Path
 
 import duckdb
 import pytest
 
-import corpus_pipeline
-from blockloom.llm import linededup, quality, registry, simhash
-from blockloom.llm.common import materialise, read
-
-from .test_operators import check_packing
+from blockloom.llm import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
@@ -26,20 +22,3 @@ def test_sql(spark, name):
     assert sorted(names) == columns
     want = sorted(repr([r[names.index(c)] for c in columns]) for r in found.fetchall())
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == want
-
-
-def test_stages(spark):
-    docs = read(spark, SF, "documents")
-    columns = docs.columns
-    seen = [docs]
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = materialise(stage(spark, seen[-1], SF), f"test{k}")
-        assert k == 4 or out.columns == columns
-        seen.append(out)
-    ids = [sorted(r.doc_id for r in d.select("doc_id").collect()) for d in seen[:5]]
-    assert ids[1] == sorted(r.doc_id for r in quality.quality_verdicts(docs).filter("kept").collect())
-    assert ids[2] == ids[1]
-    assert {r.doc_id: r.text for r in linededup.without_boilerplate(seen[1]).collect()} == {r.doc_id: r.text for r in seen[2].collect()}
-    assert ids[3] == sorted({r.component_id for r in simhash.near_duplicates(seen[2]).collect()})
-    assert set(ids[4]) < set(ids[3])
-    check_packing([(r.doc_id, r.text) for r in seen[4].collect()], seen[5].collect())
