@@ -24,9 +24,10 @@ by alternating star contraction, with aggregations and joins over written tables
 
 A radius of 2 bits misses most texts that share four fifths of their five-word shingles
 (these lie 3 to 11 bits apart), and no pivots serve such radii at scale. Where a similarity
-is asked for (``keep_one``), MinHash bands of the shingles give further candidates, and
-those whose exact Jaccard similarity reaches it are linked besides. Two texts at 0.8 share
-none of the bands with a probability of 8 in a million.
+is asked for (``keep_one``), every text, not one of each fingerprint, meets all it may be
+similar to: shingles are ordered by the number of texts that have them, and two texts as
+similar as asked for share one of the first of each (``frequent``). Pairs that share one are
+compared exactly, but for those already in one component (``similar``).
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free, let, materialise, only
+from .vocab import Cache
 
 SHINGLE = 3
 SEED = 42
@@ -47,9 +49,12 @@ PIVOTS = 16
 GROUPS = 6  # of search coordinates; linked pairs agree on GROUPS - RADIUS of them
 DENSE = 200  # different fingerprints that share a key, beyond which pairs aren't formed
 MASK = (1 << 64) - 1
-BANDS, BAND_ROWS = 64, 8
-LEADERS = 1  # members of a band key that its others are compared with in the first round
-GROWTH = 4  # times as many in each later one
+LEADERS = 4  # members of a shingle that its others are compared with in the first round
+GROWTH = 8  # times as many in each later one
+BUCKET = 600_000  # shingles that one group counts, of 8 bytes and their text's id
+CHUNK = 500_000  # shingles that a task gathers before it deals them to buckets
+WORDS = 50_000  # whose hashes a task keeps
+EPS = 1e-9
 
 
 def fingerprint(text: str | None) -> int:
@@ -75,45 +80,55 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def shingles(text: str | None, size: int):
-    """Sorted distinct 64-bit hashes of the text's shingles of ``size`` words; a shorter
-    text is one shingle. Words as in ``fingerprint``."""
-    import numpy as np
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def sequence_id(words: list[bytes]) -> int | None:
+    """A signed 64-bit hash of a text's words, in order; none for a text without words."""
     import xxhash
 
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8"))
+    return _signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)) if words else None
 
 
-def _band_seeds():
-    import numpy as np
+class Shingler:
+    """Sorted distinct 64-bit hashes of the shingles of ``size`` words; a shorter text is
+    one shingle. Words are hashed once, shingles from the hashes of their words."""
 
-    draws = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, (3, BANDS * BAND_ROWS, 1), dtype=np.uint32)
-    return draws[0], draws[1] | np.uint32(1), draws[2] | np.uint32(1)
+    def __init__(self, size: int):
+        import numpy as np
+        import xxhash
 
+        self.size = size
+        self.hashes = Cache(lambda w: xxhash.xxh64_digest(w, SEED), WORDS)
+        draws = np.random.Generator(np.random.PCG64(SEED))
+        self.factors = draws.integers(0, 1 << 64, (size + 1, size), dtype=np.uint64) | np.uint64(1)
 
-def bands(grams, seeds) -> list[int]:
-    """Keys, one for each band, of the least hashes of ``grams``, signed."""
-    import numpy as np
-    import xxhash
+    def __call__(self, words: list[bytes]):
+        import numpy as np
 
-    if not len(grams):
-        return []
-    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for k in range(0, len(grams), 1 << 10):  # bounded memory for very long texts
-        h = grams[k : k + (1 << 10)].astype(np.uint32) ^ seeds[0]
-        h *= seeds[1]
-        h ^= h >> np.uint32(15)
-        h *= seeds[2]
-        np.minimum(least, h.min(axis=1), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+        get, k = self.hashes, min(self.size, len(words))
+        h = np.frombuffer(b"".join([get[w] for w in words]), "<u8")
+        out = np.zeros(len(words) - k + 1 if words else 0, "<u8")
+        for i in range(k):
+            part = h[i : i + len(out)] ^ (h[i : i + len(out)] >> np.uint64(29))
+            out += part * self.factors[k, i]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(31)
+        return np.unique(out)
+
+
+def texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """Texts of a batch, a few at a time in Python's memory."""
+    column = batch.column("text")
+    for k in range(0, len(column), 200):
+        yield from column.slice(k, 200).to_pylist()
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = [fingerprint(t) for t in b.column("text").to_pylist()]
+        fp = [fingerprint(t) for t in texts(b)]
         signed = [x - (1 << 64) if x >> 63 else x for x in fp]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("k1__"), b.column("k2__"), pa.array(signed, pa.int64())], ["doc_id", "k1__", "k2__", "fp"]
@@ -291,97 +306,210 @@ def _identity() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1__"), F.hash("doc_id", "text").alias("k2__")]
 
 
-def _banded(docs: DataFrame, size: int) -> DataFrame:
-    """As ``fingerprints``, with n (distinct shingles) and bands (keys) besides."""
+def _sequenced(docs: DataFrame) -> DataFrame:
+    """As ``fingerprints``, with sid (``sequence_id``) and n (words) besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _band_seeds()
         for whole in batches:
             f = next(_fingerprints(iter([whole])))
-            n, keys = [], []
-            for t in whole.column("text").to_pylist():
-                grams = shingles(t, size)
-                n.append(len(grams))
-                keys.append(bands(grams, seeds))
-            more = [pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*f.columns, *more], [*f.schema.names, "n", "bands"])
+            found = [(sequence_id(w), len(w)) for w in map(_words, texts(whole))]
+            more = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*f.columns, *more], [*f.schema.names, "sid", "n"])
 
     thin = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text", *_identity())
-    return thin.mapInArrow(run, "doc_id long, k1__ long, k2__ int, fp long, n long, bands array<long>")
-
+    return thin.mapInArrow(run, "doc_id long, k1__ long, k2__ int, fp long, sid long, n long")
 
-def _order() -> Column:
-    """By which one row of a component is chosen."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1__", "k2__")
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingles have at least this Jaccard similarity."""
+def _dealt_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Shingles of all texts by ranges of their hashes: bucket, and in binary the texts' ids,
+    numbers of shingles in all and here, and the hashes here, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        shingler, seen, held, total = Shingler(size), set(), [], 0
+        edges = np.array([(k << 64) // buckets for k in range(1, buckets)], "<u8")
+
+        def dealt() -> pa.RecordBatch:
+            sid = np.array([x for x, _ in held], "<i8")
+            n = np.array([len(g) for _, g in held], "<u4")
+            grams, owner = np.concatenate([g for _, g in held]), np.repeat(np.arange(len(held)), n)
+            bucket = np.searchsorted(edges, grams, side="right")
+            order = np.argsort(bucket, kind="stable")
+            grams, owner, bucket = grams[order], owner[order], bucket[order]
+            ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True]) + 1
+            rows = []
+            for i, j in zip([0, *ends[:-1]], ends):
+                start = np.flatnonzero(np.r_[True, owner[i + 1 : j] != owner[i : j - 1]])
+                who = owner[i:j][start]
+                here = np.diff(np.r_[start, j - i]).astype("<u4")
+                rows.append((int(bucket[i]), sid[who].tobytes(), n[who].tobytes(), here.tobytes(), grams[i:j].tobytes()))
+            kinds = [pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "sid", "n", "here", "grams"])
+
         for x in batches:
-            good = []
-            for g, h in zip(x.column("g").to_pylist(), x.column("h").to_pylist()):
-                g, h = np.frombuffer(g, "<u4"), np.frombuffer(h, "<u4")
-                both = len(np.intersect1d(g, h, assume_unique=True))
-                good.append(both >= similarity * (len(g) + len(h) - both) - 1e-9)
-            yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for t in texts(x):
+                w = _words(t)
+                key = sequence_id(w)
+                if key is None or key in seen:
+                    continue
+                if len(seen) >= CHUNK:
+                    seen.clear()
+                seen.add(key)
+                held.append((key, shingler(w)))
+                total += len(held[-1][1])
+                if total >= CHUNK:
+                    yield dealt()
+                    held, total = [], 0
+        if held:
+            yield dealt()
+
+    return only(docs, text="text").mapInArrow(run, "bucket int, sid binary, n binary, here binary, grams binary")
+
+
+def frequent(docs: DataFrame, size: int, similarity: float, shingle_count: int) -> DataFrame:
+    """sid, n (distinct shingles), grams (those that other texts have too) and first: of
+    these the ones by which the text can be found.
+
+    All shingles are counted, by ranges of their hashes. In the order of these counts, and
+    of hashes among equal counts, two texts with at least this Jaccard similarity share one
+    of the first n - ceil(similarity * n) + 1 of each. What one text alone has comes first
+    and can't be shared, so ``first`` is short and most texts have none and aren't listed."""
+    buckets = max(1, -(-shingle_count // BUCKET))
+    parts = max(1, -(-buckets // 4))
+
+    def joined(t: pa.Table, column: str, kind: str):
+        import numpy as np
 
-    g = sets.select(F.col("fp").alias("a"), F.col("grams").alias("g"))
-    h = sets.select(F.col("fp").alias("b"), F.col("grams").alias("h"))
-    return pairs.join(h, "b").join(g, "a").select("a", "b", "g", "h").mapInArrow(run, "a long, b long")
+        return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
+    def shared(t: pa.Table) -> pa.Table:
+        import numpy as np
 
-def similar(docs: DataFrame, best: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs a, b of fingerprints whose first rows (``best``) are similar.
+        here = joined(t, "here", "<u4")
+        sid, n, h = joined(t, "sid", "<i8"), joined(t, "n", "<u4"), joined(t, "grams", "<u8")
+        owner = np.repeat(np.arange(len(sid), dtype="<u4"), here)
+        order = np.argsort(h)
+        h, owner = h[order], owner[order]
+        same = h[1:] == h[:-1]
+        some = np.r_[False, same] | np.r_[same, False]
+        h, owner = h[some], owner[some]
+        sid, n = sid[owner], n[owner]
+        order = np.lexsort((sid, h))  # copies of a text come from several tasks
+        h, sid, n = h[order], sid[order], n[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])][: len(h)]
+        h, sid, n = h[once], sid[once], n[once]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        times = np.diff(np.r_[start, len(h)])
+        times = np.repeat(times, times).astype("<u4")
+        part = (sid.view("<u8") % np.uint64(parts)).astype("<i4")
+        part[times < 2] = -1
+        rows = []
+        order = np.argsort(part, kind="stable")
+        for p in range(parts):
+            i, j = np.searchsorted(part, [p, p + 1], sorter=order)
+            if i < j:
+                x = order[i:j]
+                rows.append((p, *(c[x].tobytes() for c in (sid, n, times, h))))
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        names = ["part", "sid", "n", "times", "grams"]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def firsts(t: pa.Table) -> pa.Table:
+        import math
+
+        import numpy as np
 
-    Members of a key aren't all compared with each other but, in rounds, with its first
-    rows by the order in which rows are chosen, which then leave it. What is similar to one
-    of these will not be chosen and leaves all keys. Each round takes GROWTH times as many
-    first rows, so rounds are few however large a key. A row that is chosen in the end is
-    similar to no row before it, so it stays until it has been compared with every later
-    such row: no two chosen rows that share a key are similar."""
-    rows = best.select("fp", "ord", "n", F.explode("bands").alias("key"))
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    here = materialise(rows.join(counts, "key"), "bands")
-    members = here.select("fp", "ord.k1__", "ord.k2__").distinct()
-    texts = only(docs, doc_id="doc_id", text="text").select("text", *_identity())
+        sid, n, times, h = (joined(t, c, k) for c, k in (("sid", "<i8"), ("n", "<u4"), ("times", "<u4"), ("grams", "<u8")))
+        order = np.lexsort((h, times, sid))
+        sid, n, h = sid[order], n[order], h[order]
+        start = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]][: len(sid)])
+        rows = []
+        for i, j in zip(start, np.r_[start[1:], len(sid)]):
+            size = int(n[i])
+            # Shingles of this text alone come before all others.
+            k = size - math.ceil(similarity * size - EPS) + 1 - (size - (j - i))
+            if k > 0:
+                rows.append((int(sid[i]), size, np.sort(h[i:j]).tobytes(), h[i : min(j, i + k)].view("<i8")))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        names = ["sid", "n", "grams", "first"]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    dealt = _dealt_shingles(docs, size, buckets).repartition(buckets, "bucket")
+    counted = dealt.groupBy("bucket").applyInArrow(shared, "part int, sid binary, n binary, times binary, grams binary")
+    found = counted.repartition(parts, "part").groupBy("part").applyInArrow(firsts, "sid long, n long, grams binary, first array<long>")
+    return materialise(found, "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingles have at least this Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for x in batches:
-            # 32 bits of each hash: half as much to ship, and equal by chance for one pair
-            # of shingles in four billion.
-            high = [np.unique((shingles(t, size) >> np.uint64(32)).astype("<u4")) for t in x.column("text").to_pylist()]
-            grams = pa.array([h.tobytes() for h in high], pa.binary())
-            yield pa.RecordBatch.from_arrays([x.column("fp"), grams], ["fp", "grams"])
-
-    found = texts.join(members, ["k1__", "k2__"]).select("fp", "text").mapInArrow(run, "fp long, grams binary")
-    sets = materialise(found.dropDuplicates(["fp"]), "shingles")
-    out, done, count = None, None, LEADERS
-    close = (F.col("n") >= similarity * F.col("ln") - 1e-9) & (F.col("ln") >= similarity * F.col("n") - 1e-9)
+            good = []
+            for g, h, n in zip(*(x.column(c).to_pylist() for c in ("g", "h", "n"))):
+                g, h = np.frombuffer(g, "<u8"), np.frombuffer(h, "<u8")
+                both = len(np.intersect1d(g, h, assume_unique=True))
+                good.append(both >= similarity * (n - both) - EPS)
+            yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    g = sets.select(F.col("sid").alias("a"), F.col("grams").alias("g"), F.col("n").alias("an"))
+    h = sets.select(F.col("sid").alias("b"), F.col("grams").alias("h"), F.col("n").alias("bn"))
+    both = pairs.join(h, "b").join(g, "a").select("a", "b", "g", "h", (F.col("an") + F.col("bn")).alias("n"))
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, size: int, similarity: float, shingle_count: int) -> DataFrame:
+    """Pairs a < b of texts (sid) that connect all whose similarity is at least this.
+
+    Texts that have a shingle among their first (``frequent``) are its members. In rounds
+    its next leaders are compared with all members after them, and between rounds
+    components are found: pairs in one component are connected and aren't compared, a
+    shingle whose members are all in one is done with. Each round takes GROWTH times as
+    many leaders, so rounds are few; what no link connects is compared pair by pair, so no
+    link between components is lost."""
+    sets = frequent(docs, size, similarity, shingle_count)
+    rows = sets.select("sid", "n", F.explode("first").alias("key"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # Leaders differ from shingle to shingle, also among those that the same texts have.
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"), "sid"))
+    here = rows.join(counts, "key").select("key", "sid", "n", "m", rank.alias("r"), F.col("sid").alias("root"))
+    here, done, out, past, count = materialise(here, "members"), None, None, 0, LEADERS
     while True:
-        # Spark applies this limit in each task before rows of a key meet.
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
-        first = here.withColumn("r", rank).filter(F.col("r") <= count)
-        first = materialise(first.select("key", F.col("fp").alias("lf"), F.col("ord").alias("lo"), F.col("n").alias("ln")), "leaders")
-        met = here.join(first, "key").filter((F.col("lo") < F.col("ord")) & close).select(F.col("lf").alias("a"), F.col("fp").alias("b")).distinct()
-        if done is not None:  # pairs that share several keys are compared once
+        lead = here.filter((F.col("r") > past) & (F.col("r") <= count))
+        lead = lead.select("key", F.col("sid").alias("ls"), F.col("n").alias("ln"), F.col("r").alias("lr"), F.col("root").alias("lroot"))
+        close = (F.col("n") >= similarity * F.col("ln") - EPS) & (F.col("ln") >= similarity * F.col("n") - EPS)
+        met = here.join(lead, "key").filter((F.col("lr") < F.col("r")) & (F.col("lroot") != F.col("root")) & close)
+        met = met.select(F.least("ls", "sid").alias("a"), F.greatest("ls", "sid").alias("b")).distinct()
+        if done is not None:  # pairs that share several shingles are compared once
             met = met.join(done, ["a", "b"], "left_anti")
         met = materialise(met, "pairs")
-        done = met if done is None else done.unionByName(met)
         near = materialise(_verified(met, sets, similarity), "similar")
+        done = met if done is None else done.unionByName(met)
         out = near if out is None else out.unionByName(near)
-        last = first.groupBy("key").agg(F.max("lo").alias("lo"), F.count(F.lit(1)).alias("m")).filter(F.col("m") == count)
-        left = here.join(last.select("key", "lo"), "key").filter(F.col("ord") > F.col("lo")).drop("lo")
-        gone = near.select(F.col("b").alias("fp")).distinct()
-        here = materialise(left.join(gone, "fp", "left_anti").select("fp", "ord", "n", "key"), "bands")
+        # The last member has nothing after it to be compared with.
+        left = here.filter((F.col("m") > count + 1) & (F.col("r") > count))
+        if left.isEmpty():
+            return out
+        roots = components(out).select(F.col("fp").alias("sid"), F.col("root").alias("to"))
+        left = left.join(roots, "sid", "left").withColumn("root", F.coalesce("to", "sid")).drop("to")
+        several = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        here = materialise(left.join(several, "key").select("key", "sid", "n", "m", "r", "root"), "members")
         if here.isEmpty():
-            return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-        count *= GROWTH
+            return out
+        past, count = count, count * GROWTH
+
+
+def _linked_fingerprints(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """Pairs a < b of fingerprints from ``pairs`` of texts; a text's words make its
+    fingerprint, so each has one."""
+    of = fps.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("fp").alias("fp"))
+    a = of.select(F.col("sid").alias("a"), F.col("fp").alias("x"))
+    b = of.select(F.col("sid").alias("b"), F.col("fp").alias("y"))
+    both = pairs.join(a, "a").join(b, "b")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = None) -> DataFrame:
@@ -395,9 +523,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = None)
     if similarity is None:
         found = _placed(materialise(fingerprints(docs), "fingerprints"))
     else:
-        fps = materialise(_banded(docs, shingle), "fingerprints")
-        best = materialise(fps.groupBy("fp").agg(F.min(_order()).alias("ord"), F.min_by(F.struct("n", "bands"), _order()).alias("x")).select("fp", "ord", "x.n", "x.bands"), "best")
-        found = _placed(fps.drop("n", "bands"), similar(docs, best, shingle, similarity))
+        fps = materialise(_sequenced(docs), "fingerprints")
+        total = fps.groupBy("sid").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+        pairs = similar(docs, shingle, similarity, total)
+        found = _placed(fps.drop("sid", "n"), _linked_fingerprints(pairs, fps))
     rows = found.groupBy("root", "k1__", "k2__").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n__"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1__", "k2__", "n__")
     first = rows.groupBy("root").agg(F.min(order).alias("x"))

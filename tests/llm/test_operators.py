@@ -355,6 +355,80 @@ def test_simhash_keeps_one_of_planted_edits(spark, monkeypatch, leaders):
     assert len(kept) < len(simhash.keep_one(docs).collect())
 
 
+def brute_groups(texts):
+    """Groups of ids that links connect: 2 bits, or 0.8 of the five-word shingles."""
+    words = {i: t.lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    fps, group = {i: brute_fingerprint(t) for i, t in texts.items()}, {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and group[i] != group[j] and ((fps[i] ^ fps[j]).bit_count() <= 2 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("leaders", [1, 4])
+def test_simhash_loses_no_link(spark, monkeypatch, leaders):
+    """One text stays of each component of all links, over chains of edits and over texts
+    that share their fingerprint with a dissimilar one."""
+    import random
+
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    monkeypatch.setattr(simhash, "BUCKET", 2000)
+    rng, texts = random.Random(11), {}
+    for k in range(6):  # each text edits the one before: the first and the last differ
+        w = [f"c{rng.randrange(10**6)}" for _ in range(100)]
+        for j in range(25):
+            texts[1000 * k + rng.randrange(10**3) * 10 + j % 10] = " ".join(w)
+            for at in rng.sample(range(100), 2):
+                w[at] = f"e{rng.randrange(10**6)}"
+    # The same three-word shingles in another order, and an edit of the second text.
+    letters = [f"m{k}" for k in range(40)]
+    one = " ".join(f"x y {c}" for c in letters) + " x y"
+    two = " ".join(f"x y {c}" for c in sorted(letters, key=lambda c: rng.random())) + " x y"
+    edited = two + " " + " ".join(f"q{k}" for k in range(20))
+    texts |= {-3: one, -2: two, -1: edited}
+    assert brute_fingerprint(one) == brute_fingerprint(two)
+    assert (brute_fingerprint(two) ^ brute_fingerprint(edited)).bit_count() > 2
+    want = brute_groups(texts)
+    assert want[-1] == -3 and len(set(want.values())) < 10
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs, shingle=5, similarity=0.8).collect())
+    assert kept == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("leaders", [1, 4])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, leaders):
+    """Components of ``similar`` alone, on pairs at and next to the threshold."""
+    import random
+
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    rng, texts = random.Random(12), ["one", "one two", "a b c d e", "a b c d f"]
+    common = [f"k{i}" for i in range(40)]
+    for k in range(150):
+        n = 4 + rng.randrange(36)  # n shingles in common, and a few that aren't
+        more = [f"t{k}x{i}" for i in range(round(n / 8) + rng.randrange(-1, 3))]
+        texts.append(" ".join((common if k % 3 else [f"o{k % 7}y{i}" for i in range(40)])[: n + 4] + more))
+    texts = sorted(set(texts))
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in links)
+    ids = {simhash.sequence_id(simhash._words(t)): i for i, t in enumerate(texts)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(ids[r.a], ids[r.b]) for r in simhash.similar(docs, 5, 0.8, 10_000).collect()]
+    assert {(min(p), max(p)) for p in got} <= set(links)
+
+    def joined(pairs):
+        group = list(range(len(texts)))
+        for i, j in pairs:
+            group = [group[i] if g == group[j] else g for g in group]
+        return {frozenset(k for k, g in enumerate(group) if g == x) for x in group}
+
+    assert joined(got) == joined(links)
+
+
 @pytest.mark.parametrize("targets", [None, {"s0": 0.5, "s1": 0.25, "s2": 0.25}])
 def test_packing_windows_hold_the_mixture(spark, monkeypatch, targets):
     monkeypatch.setattr(packing, "LANE_TOKENS", 1 << 15)
