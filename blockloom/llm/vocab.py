@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 from .common import single_thread
 
 VOCAB = "word_bpe_49k.json"
 END_ID = 2
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000  # in lower case, without marks
+CACHE_PIECES = 250_000  # words as they stand, with capitals and marks
 CACHE_KEY = 64  # longer words aren't kept, so that the cache is bounded in bytes as well
 
 
@@ -22,7 +24,7 @@ class Cache(dict):
     older generation, from which keys in use come back. Keys of over CACHE_KEY characters
     are made anew each time, so memory is bounded by 2 * limit short keys."""
 
-    def __init__(self, make, limit: int = CACHE_WORDS):
+    def __init__(self, make, limit: int = CACHE_PIECES):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -76,26 +78,30 @@ class Encoder:
         def raw(ids: list[int]) -> bytes:
             return np.array(ids, kind).tobytes()
 
+        pack = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(32)]
+
         def of_word(w: str) -> bytes:
-            return raw([t.id for t in model.tokenize(w.encode().decode("latin1").translate(letters))])
+            # Byte letters of ASCII are the characters themselves.
+            ids = [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin1").translate(letters))]
+            return pack[len(ids)](*ids) if len(ids) < len(pack) else raw(ids)
 
         # The file's own splitting pattern, for text in which lower case and normal form
         # are plain (ASCII, Latin-1 and part of Latin Extended-A).
         plain = re.compile(r"[!-~¡-į]*\Z").match
         split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        inner = Cache(of_word)
+        inner = self.words = Cache(of_word, CACHE_WORDS)
 
         def of_piece(p: str) -> bytes:
             if "<|" in p or not plain(p):
                 return raw(self.whole.encode(p, add_special_tokens=False).ids)
-            low = p.lower()
-            if low.isalpha():
-                return of_word(low)
+            low = p if (low := p.lower()) == p else low
+            if low.isalpha():  # a word has the same ids in either case, and before a mark
+                return inner[low]
             if low[:-1].isalpha() and low[-1] in ".,":
                 return inner[low[:-1]] + inner[low[-1]]
             return b"".join([inner[w] for w in split(low)])
 
-        self.pieces = Cache(of_piece)
+        self.pieces = Cache(of_piece, CACHE_PIECES)
         self.space = re.compile(r"[\x20\x09-\x0D]+").split
         self.end = raw([END_ID])
 
@@ -112,12 +118,13 @@ def _pieces(text: str | None) -> list[str]:
     serves only where there is none."""
     if not text:
         return []
-    if text.isascii() and not _CONTROLS(text):
+    if not (_CONTROLS if text.isascii() else _OTHER_SPACE)(text):
         return text.split()
     return [p for p in _SPACE(text) if p]
 
 
 _CONTROLS = re.compile("[\x1c-\x1f]").search
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 _SPACE = re.compile("[\x20\x09-\x0d]+").split
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from blockloom.llm import htmltext, licensescan, linededup, mixing, packing, quality, secretscan, simhash, tokencount, topk
-from blockloom.llm.vocab import END_ID, VOCAB
+from blockloom.llm.vocab import END_ID, VOCAB, Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, n long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -451,3 +451,14 @@ def test_packing_windows_hold_the_mixture(spark, monkeypatch, targets):
         assert len(full) > 3
     for w in full:
         assert all(abs(w[s] - want.get(s, 0) * packing.WINDOW) <= 2 * packing.MIN_PIECE + 1 for s in own)
+
+
+def test_words_are_encoded_once_in_all_their_forms():
+    """Capitals and marks don't make another word; other white space than ASCII's cuts none."""
+    enc, calls = Encoder(VOCAB), []
+    make = enc.words.make
+    enc.words.make = lambda w: calls.append(w) or make(w)
+    for text in ("Zorvex zorvex, ZORVEX. zorvex zorvex's", "Çorvèx çorvèx. a\x85b c\u3000d\xa0e\x1cf\u2028g", "\u0130stanbul \u0130, \u00b5m \u00df."):
+        want = [i for p in re.split("[ \t-\r]+", text) if p for i in enc.whole.encode(p, add_special_tokens=False).ids]
+        assert enc.ids(text) == b"".join(i.to_bytes(enc.width, "little") for i in want)
+    assert calls.count("zorvex") == calls.count("çorvèx") == 1
