@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,10 +36,23 @@ PARTITION_LANES = 16  # lanes dealt to one task, of about 1 MB each
 MIN_PIECE = 256  # a source isn't cut shorter than this while another has credit to serve
 GRAIN = 256  # documents are cut at lane edges in pieces of about so many tokens of a source
 FEW_TOTALS = 100_000  # totals up to so many rows are broadcast
+SLICE = 8 << 20  # bytes of text tokenised at once
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NO_SOURCE = "\u0000"
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with up to SLICE bytes in ``column``, or a single row with more."""
+    import numpy as np
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    k = 0
+    while k < batch.num_rows:
+        end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + SLICE, "right")))
+        yield batch.slice(k, end - k)
+        k = end
+
+
 def tokenise(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
     """doc_id, source, ids, n, lane (the task that made them) and at (tokens of the same
     source that this task made before).
@@ -50,15 +64,14 @@ def tokenise(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
         enc, task = encoder(vocab), TaskContext.get().partitionId()
         made: dict[str, int] = {}
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                ids = [enc.document(t) for t in b.column("text").to_pylist()]
-                n, at = [len(x) // enc.width for x in ids], []
+            for b in slices(whole, "text"):
+                ids, at = enc.documents(b.column("text").cast(pa.string())), []
+                n = [x // enc.width for x in pc.binary_length(ids).to_pylist()]
                 for s, k_n in zip(b.column("source").to_pylist(), n):
                     at.append(made.get(s, 0))
                     made[s] = at[-1] + k_n
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("source"), pa.array(ids, pa.binary()), *(pa.array(c, pa.int64()) for c in (n, [task] * len(n), at))],
+                    [b.column("doc_id"), b.column("source"), ids, *(pa.array(c, pa.int64()) for c in (n, [task] * len(n), at))],
                     ["doc_id", "source", "ids", "n", "lane", "at"],
                 )
 

@@ -2,9 +2,11 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -462,3 +464,32 @@ def test_words_are_encoded_once_in_all_their_forms():
         want = [i for p in re.split("[ \t-\r]+", text) if p for i in enc.whole.encode(p, add_special_tokens=False).ids]
         assert enc.ids(text) == b"".join(i.to_bytes(enc.width, "little") for i in want)
     assert calls.count("zorvex") == calls.count("çorvèx") == 1
+
+
+def test_batches_of_texts_are_taken_apart_by_tables():
+    """Plain pieces need no look-up of their own; every text has the tokenizer's ids, wherever
+    it stands in a batch."""
+    enc = Encoder(VOCAB)
+    texts = [
+        "Zorvex zorvex, (ZORVEX) x86_64 3,14 Été! a²½ Įį «×»", None, "", " \t\n", "a<\n|b", "Ça\r\n\x0b\x0cva",
+        "don't ''tis 'start x'll' '", "<|endoftext|> a<|b", "é İ ſ 日本\U0001f600 a\x85b\xa0c\x1cd", "w" * 100 + " " + "Ü" * 70,
+    ]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(texts[0] + "'<| ́日") for _ in range(40)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x", *texts], pa.string()).slice(1)})
+    for parts in ([batch], [batch.slice(k, 1) for k in range(batch.num_rows)], list(packing.slices(batch, "text"))):
+        got = [x for b in parts for x in enc.documents(b.column("text")).to_pylist()]
+        want = [[*enc.whole.encode(t or "", add_special_tokens=False).ids, END_ID] for t in texts]
+        assert got == [b"".join(i.to_bytes(enc.width, "little") for i in ids) for ids in want]
+    plain = Encoder(VOCAB)
+    plain.ids(texts[0])
+    assert not plain.pieces and "zorvex" in plain.words
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 10)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * n if n != 3 else None for n in (0, 4, 6, 1, 30, 3, 2, 9, 10, 11)])})
+    parts = list(packing.slices(batch, "text"))
+    assert [b.num_rows for b in parts] == [3, 1, 1, 2, 1, 1, 1]
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist()
+    assert list(packing.slices(batch.slice(0, 0), "text")) == []
