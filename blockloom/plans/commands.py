@@ -5,6 +5,7 @@ owners of files have no counterpart on object stores and are left as they fall."
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -82,26 +83,50 @@ def _parts(path: str, o: Options, s: Settings, count: list[int]) -> Iterator[byt
         yield from packed(iter(lambda: f.read(STEP), b""), s, mtime, name)
 
 
-def _one(row: dict, o: Options, s: Settings, job: str) -> dict:
+def _stored_targets(good: DataFrame) -> dict[str, str]:
+    """Where files go that are named by their headers, if these hold a name."""
+
+    def look(row: dict) -> list[dict]:
+        try:
+            return [{"stored": _header_name(row["path"])}]
+        except (NotGzip, OSError):  # told when the file itself is handled
+            return []
+
+    seen = map_value(good, "path", look, "stored string", ["path"]).filter("stored != ''").collect()
+    return {r["path"]: "/".join([*r["path"].split("/")[:-1], r["stored"]]) for r in seen}
+
+
+def _turns(found: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """(in_path, out_path) by output, in the order given."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for path, to in found:
+        where, inner = open_path(to)
+        out.setdefault(os.path.abspath(inner) if where.type_name == "local" else to, []).append((path, to))
+    return list(out.values())
+
+
+def _one(row: dict, o: Options, s: Settings, job: str, made: bool) -> dict:
+    """``made``: another file of this run has made the same output."""
     path, to, count, size = row["path"], row["out_path"], [0], 0
     seen = {"out_path": to, "status": fixed.OK, "total_in": 0, "total_out": 0}
     where, inner = open_path(to)
     hidden = "/".join([*inner.split("/")[:-1], f".{job}-{uuid.uuid4().hex}"])
     try:
-        stored = _header_name(path) if o.decompress else ""
+        if o.decompress:
+            _header_name(path)
         if o.test:
             for part in _parts(path, o, s, count):
                 size += len(part)
             return seen | {"out_path": None, "total_in": count[0], "total_out": size}
-        if o.name_mode == 1 and stored:
-            inner = "/".join([*inner.split("/")[:-1], stored])
-            seen["out_path"] = path.rpartition("/")[0] + "/" + stored if "/" in path else stored
-        if not o.force and where.get_file_info(inner).is_file:
+        if not made and not o.force and where.get_file_info(inner).is_file:
             return seen | {"status": fixed.WARNING, "message": "exists already, not overwritten without force"}
         with where.open_output_stream(hidden, compression=None) as out:
             for part in _parts(path, o, s, count):
                 out.write(part)
                 size += len(part)
+        if made:
+            where.delete_file(hidden)
+            return seen | {"status": fixed.WARNING, "message": "another file of this run has this output, not overwritten"}
         where.move(hidden, inner)
         return seen | {"total_in": count[0], "total_out": size}
     except NotGzip:
@@ -118,7 +143,9 @@ def run(spark: SparkSession, o: Options, replace: bool = False) -> DataFrame:
     To encode, decode or test: path, out_path, status, message, total_in, total_out. To
     list: the listing's rows and totals. To standard output: path, payload, in order within
     a path. A file that can't be handled has a status and doesn't stop the others; outputs
-    appear whole or not at all. A task that runs again after it had finished finds its own
+    appear whole or not at all. Files with the same output are handled one after the other
+    in the order given: the first that is whole makes it, others get a status, also with
+    force. A task that runs again after it had finished finds its own
     output and, without force, reports it as one that exists already."""
     found = targets(o)
     tasks = max(1, min(len(found), MOST_TASKS))
@@ -135,7 +162,19 @@ def run(spark: SparkSession, o: Options, replace: bool = False) -> DataFrame:
     good = todo.filter("status IS NULL").select("path", "out_path").repartition(tasks)
     if o.stdout:
         return map_value(good, "path", lambda row: ({"payload": p} for p in _parts(row["path"], o, settings, [0])), "payload binary", ["path"])
-    done = map_value(good, "path", lambda row: [_one(row, o, settings, job)], OUTCOME, ["path"])
+    named = _stored_targets(good) if o.decompress and o.name_mode == 1 and not o.test else {}
+    pairs = [(p, named.get(p, to)) for p, to, status, _ in found if status is None]
+    turns = [[x] for x in pairs] if o.test else _turns(pairs)
+
+    def handle(row: dict) -> Iterator[dict]:
+        made = False
+        for file in row["files"]:
+            seen = _one(file, o, settings, job, made)
+            made |= seen["status"] == fixed.OK
+            yield {"path": file["path"]} | seen
+
+    files = spark.createDataFrame([(x,) for x in turns], "files array<struct<path string, out_path string>>").repartition(tasks)
+    done = map_value(files, "files", handle, "path string, " + OUTCOME, [])
     rest = todo.filter("status IS NOT NULL").withColumn("total_in", F.lit(0).cast("long")).withColumn("total_out", F.lit(0).cast("long"))
     seen = materialise(done.unionByName(rest), "outcomes")
     if replace and not (o.keep or o.test):

@@ -37,6 +37,26 @@ def test_there_and_back(spark, tmp_path):
     assert [r.uncompressed for r in run(spark, parse_args(["-l", str(tmp_path / "b.txt.gz")])).collect()] == [0]
 
 
+def test_files_with_one_output_take_turns(spark, tmp_path):
+    """The first whole one makes it; no other replaces it, is lost or hides its damage."""
+    from blockloom.functions.gzip_format import parse_header
+
+    made = {}
+    for k, body in enumerate((b"pears\n" * 9000, b"plums\n" * 9000, b"figs\n" * 9000)):
+        made[k] = b"".join(packed(iter([body]), Settings("stream"), 0, b"same.txt"))
+        assert parse_header(made[k]).name == b"same.txt"
+    for force in ("-dN", "-dNf"):
+        names = []
+        for k, data in {"cut": made[0][:-9], "one": made[1], "two": made[2], "end": made[0][:-9]}.items():
+            (tmp_path / f"{k}.gz").write_bytes(data)
+            names.append(str(tmp_path / f"{k}.gz"))
+        back = outcome(run(spark, parse_args([force, *names, names[1]]), replace=True))
+        assert {k: r.status for k, r in back.items() if k != "one.gz"} == {"cut.gz": "error", "two.gz": "warning", "end.gz": "error"}
+        assert (tmp_path / "same.txt").read_bytes() == b"plums\n" * 9000
+        assert {p.name for p in tmp_path.iterdir()} == {"cut.gz", "two.gz", "end.gz", "same.txt"}
+        (tmp_path / "same.txt").unlink()
+
+
 def test_streams_equal_whole_values():
     data = b"".join(b"%d apples and %d pears\n" % (k, k * k) for k in range(9000))
     parts = [data[a : a + 10_007] for a in range(0, len(data), 10_007)]
