@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +71,47 @@ def single_thread() -> None:
     """For use on executors: libraries must not start threads of their own there."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc keeps so much and has this function
+
+
+def lean(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """``run``, a function over batches, whose worker is small again after each task.
+
+    Python workers outlive their tasks and stand idle beside the JVM while later stages
+    fill its heap; allocators would keep for them what a task once needed. ``forget``
+    drops what the worker itself keeps between tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+                gc.collect()  # what is dropped may hold itself
+            give_back()
+
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """As ``lean``, for a function over one group's table."""
+
+    @functools.wraps(run)
+    def wrapped(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return wrapped

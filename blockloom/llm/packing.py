@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, only
+from .common import lean, lean_group, materialise, only
 from .vocab import VOCAB, encoder
 
 WINDOW = 4096
@@ -78,7 +78,7 @@ def tokenise(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
     thin = only(docs, doc_id="doc_id", source="source", text="text").select(
         F.col("doc_id").cast("long"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), "text"
     )
-    return thin.mapInArrow(run, "doc_id long, source string, ids binary, n long, lane long, at long")
+    return thin.mapInArrow(lean(run, encoder.cache_clear), "doc_id long, source string, ids binary, n long, lane long, at long")
 
 
 def before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -241,4 +241,4 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocab: str =
     rows = dealt(made, targets, lanes)
     # As many partitions as lanes need, whatever the session's default: none holds over
     # PARTITION_LANES lanes but by the chance of a hash.
-    return rows.repartition(max(1, -(-lanes // PARTITION_LANES)), "lane").groupBy("lane").applyInArrow(pack_lane, SCHEMA)
+    return rows.repartition(max(1, -(-lanes // PARTITION_LANES)), "lane").groupBy("lane").applyInArrow(lean_group(pack_lane), SCHEMA)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, let, materialise, only
+from .common import free, lean, lean_group, let, materialise, only
 from .vocab import Cache
 
 SHINGLE = 3
@@ -138,7 +138,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, the row's identity and fp (64 bits as a signed long) for every row."""
     thin = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text", *_identity())
-    return thin.mapInArrow(_fingerprints, "doc_id long, k1__ long, k2__ int, fp long")
+    return thin.mapInArrow(lean(_fingerprints), "doc_id long, k1__ long, k2__ int, fp long")
 
 
 def _signed(x: int) -> int:
@@ -317,7 +317,7 @@ def _sequenced(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*f.columns, *more], [*f.schema.names, "sid", "n"])
 
     thin = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text", *_identity())
-    return thin.mapInArrow(run, "doc_id long, k1__ long, k2__ int, fp long, sid long, n long")
+    return thin.mapInArrow(lean(run), "doc_id long, k1__ long, k2__ int, fp long, sid long, n long")
 
 
 def _dealt_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -364,7 +364,7 @@ def _dealt_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         if held:
             yield dealt()
 
-    return only(docs, text="text").mapInArrow(run, "bucket int, sid binary, n binary, here binary, grams binary")
+    return only(docs, text="text").mapInArrow(lean(run), "bucket int, sid binary, n binary, here binary, grams binary")
 
 
 def frequent(docs: DataFrame, size: int, similarity: float, shingle_count: int) -> DataFrame:
@@ -436,8 +436,8 @@ def frequent(docs: DataFrame, size: int, similarity: float, shingle_count: int)
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     dealt = _dealt_shingles(docs, size, buckets).repartition(buckets, "bucket")
-    counted = dealt.groupBy("bucket").applyInArrow(shared, "part int, sid binary, n binary, times binary, grams binary")
-    found = counted.repartition(parts, "part").groupBy("part").applyInArrow(firsts, "sid long, n long, grams binary, first array<long>")
+    counted = dealt.groupBy("bucket").applyInArrow(lean_group(shared), "part int, sid binary, n binary, times binary, grams binary")
+    found = counted.repartition(parts, "part").groupBy("part").applyInArrow(lean_group(firsts), "sid long, n long, grams binary, first array<long>")
     return materialise(found, "shingles")
 
 
@@ -458,7 +458,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     g = sets.select(F.col("sid").alias("a"), F.col("grams").alias("g"), F.col("n").alias("an"))
     h = sets.select(F.col("sid").alias("b"), F.col("grams").alias("h"), F.col("n").alias("bn"))
     both = pairs.join(h, "b").join(g, "a").select("a", "b", "g", "h", (F.col("an") + F.col("bn")).alias("n"))
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def similar(docs: DataFrame, size: int, similarity: float, shingle_count: int) -> DataFrame:

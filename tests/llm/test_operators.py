@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from blockloom.llm import htmltext, licensescan, linededup, mixing, packing, quality, secretscan, simhash, tokencount, topk
+from blockloom.llm.common import lean
 from blockloom.llm.vocab import END_ID, VOCAB, Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, n long"
@@ -493,3 +494,23 @@ def test_slices_hold_every_row_once(monkeypatch):
     assert [b.num_rows for b in parts] == [3, 1, 1, 2, 1, 1, 1]
     assert pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist()
     assert list(packing.slices(batch.slice(0, 0), "text")) == []
+
+
+def test_workers_keep_no_words_between_tasks(spark, docs):
+    def kept(batches):
+        from blockloom.llm.vocab import encoder
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([encoder.cache_info().currsize] * b.num_rows, pa.int64())})
+
+    assert packing.tokenise(docs.repartition(8)).count() == docs.count()
+    assert {r.n for r in spark.range(64, numPartitions=16).mapInArrow(kept, "n long").collect()} == {0}
+
+
+@pytest.mark.parametrize("taken", [1, 3])
+def test_lean_forgets_after_the_last_batch_or_when_closed(taken):
+    seen = []
+    rows = lean(lambda batches: (2 * x for x in batches), lambda: seen.append("forgot"))(iter([1, 2, 3]))
+    assert [next(rows) for _ in range(taken)] == [2, 4, 6][:taken] and not seen
+    rows.close()
+    assert seen == ["forgot"]
