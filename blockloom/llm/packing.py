@@ -36,7 +36,7 @@ PARTITION_LANES = 16  # lanes dealt to one task, of about 1 MB each
 MIN_PIECE = 256  # a source isn't cut shorter than this while another has credit to serve
 GRAIN = 256  # documents are cut at lane edges in pieces of about so many tokens of a source
 FEW_TOTALS = 100_000  # totals up to so many rows are broadcast
-SLICE = 4 << 20  # bytes of text tokenised at once
+SLICE = 2 << 20  # bytes of text tokenised at once
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NO_SOURCE = "\u0000"
 
